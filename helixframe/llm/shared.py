@@ -138,3 +138,57 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def crc_bucket(modulus: int):
     """crc32 of doc_id written as decimal text, modulo; null where doc_id is null."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 21):
+    """Byte ranges that cut no word and hold about ``limit`` bytes: (lo, hi, row boundaries inside, first row).
+
+    Ranges end at row ends, and inside a longer row after white space, so that arrays over one range
+    stay small however long a text is. A range without white space goes on to the next one.
+    """
+    for a, b in row_ranges(offsets, limit):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= limit or b - a > 1:
+            yield lo, hi, offsets[a : b + 1] - lo, a
+            continue
+        while lo < hi:
+            cut = min(lo + limit, hi)
+            while cut < hi and not SPACE[data[cut - 1]]:
+                gap = np.flatnonzero(SPACE[data[cut : cut + 4096]])
+                cut = cut + int(gap[0]) + 1 if len(gap) else min(cut + 4096, hi)
+            yield lo, cut, np.array([0, cut - lo]), a
+            lo = cut
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool, bounds: bool = False):
+    """Hash of every word and the index of each row's first word; with ``bounds`` also the words' byte ranges."""
+    hashes, starts, ends = [], [], []
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    for lo, hi, inner, row in pieces(data, offsets):
+        part = data[lo:hi]
+        if lower:
+            part = LOWER[part]
+        start, end, where = words(part, inner)
+        hashes.append(range_hash(prefix_sums(BYTE_VALUE[part]), start, end))
+        counts[row : row + len(inner) - 1] += np.bincount(where, minlength=len(inner) - 1)
+        if bounds:
+            starts.append(start + lo)
+            ends.append(end + lo)
+    first = np.zeros(len(offsets), np.int64)
+    np.cumsum(counts, out=first[1:])
+    out = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    if not bounds:
+        return out, first
+    empty = np.empty(0, np.int64)
+    return out, first, np.concatenate(starts) if starts else empty, np.concatenate(ends) if ends else empty
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` hashes, by its first place; runs over row ends included."""
+    if len(hashes) < n:
+        return np.empty(0, np.uint64)
+    size = len(hashes) - n + 1
+    total = np.zeros(size, np.uint64)
+    for k, factor in enumerate(powers(BASE, n + 1)[1:]):
+        total += hashes[k : k + size] * factor
+    return mix(total)
