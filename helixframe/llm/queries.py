@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, langid, packing, tokenfile, webp
+from . import chat, decontamination, langid, lz_dedup, packing, suffix_dedup, tokenfile, webp
 from .tokens import public_path
 
 
@@ -21,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": lambda s, d: langid.op1_language_id(documents(s, d)),
     "op2_packing": lambda s, d: packing.op2_packing(documents(s, d), public_path("word_bpe_49k.json")),
+    "op3_suffix_dedup": lambda s, d: suffix_dedup.op3_suffix_dedup(documents(s, d)),
     "op4_decontamination": lambda s, d: decontamination.op4_decontamination(documents(s, d), table(s, d, "benchmark")),
     "op5_token_file": lambda s, d: tokenfile.op5_token_file(documents(s, d), public_path("byte_bpe_50k.json")),
     "op6_chat_format": lambda s, d: chat.op6_chat_format(table(s, d, "conversations")),
     "op9_lossless_webp": lambda s, d: webp.op9_lossless_webp(documents(s, d)),
+    "op10_passage_dedup": lambda s, d: lz_dedup.op10_passage_dedup(documents(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
