@@ -189,73 +189,92 @@ def group_edges(x: np.ndarray) -> np.ndarray:
 # ---- round 1
 
 
-def _send_minimizers(rule: Rule, buckets: int, flush: int):
-    def run(batches):
-        held = _Held("key at doc rid")
+class Sharing:
+    """Finds which (key, rid) entries have a key that occurs with two different docs.
 
-        def emit():
-            x = held.take()
-            order = np.argsort(x["key"], kind="stable")
-            key, at, doc, rid = (x[n][order] for n in ("key", "at", "doc", "rid"))
+    ``emit`` turns the entries of a map task into compressed arrays per bucket. Keys met with two docs
+    there are settled at once: only their hash goes on, so a key that a third of all documents has
+    costs one entry per flush.
+    """
+
+    names = "key at doc rid"
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def _short(self, key: np.ndarray) -> np.ndarray:
+        """What of a key its bucket does not tell, cut to 48 bits; a chance collision only adds an entry."""
+        return key // np.uint64(self.buckets) & np.uint64((1 << 48) - 1)
+
+    def emit(self, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n, none = self.buckets, np.empty(0, np.int64)
+        order = np.argsort(x["key"], kind="stable")
+        key, doc = x["key"][order], x["doc"][order]
+        edge = group_edges(key)
+        shared = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
+        each = np.repeat(shared, np.diff(np.append(edge, len(key))))
+        flag = key[edge[shared]]
+        sent = {b: {"flag": self._short(flag[i])} for b, i in split_by((flag % np.uint64(n)).astype(np.int64), n)}
+        done = order[each]
+        for b, i in split_by((x["rid"][done].astype(np.uint64) % np.uint64(n)).astype(np.int64), n):
+            sent.setdefault(b, {}).update(done_rid=x["rid"][done[i]], done_at=x["at"][done[i]])
+        single = np.sort(order[~each])  # back in text order, which compresses
+        for b, i in split_by((x["key"][single] % np.uint64(n)).astype(np.int64), n):
+            i = single[i]
+            table, place = local_docs(x["rid"][i])
+            ids = np.zeros(len(table), np.int64)
+            ids[place] = x["doc"][i]
+            sent.setdefault(b, {}).update(key=self._short(x["key"][i]), at=x["at"][i], place=place, rids=table, docs=ids)
+        out = []
+        for b, s in sent.items():
+            key = s.get("key", none.astype(np.uint64))
+            done_rids, done_place = local_docs(s.get("done_rid", none))
+            out.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), at=s.get("at", none).astype(np.uint32), place=s.get("place", none.astype(np.uint16)), rids=s.get("rids", none), docs=s.get("docs", none), flag=s.get("flag", none.astype(np.uint64)), done_rids=done_rids, done_place=done_place, done_at=s.get("done_at", none).astype(np.uint32))))
+        return _blobs(out)
+
+    @staticmethod
+    def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """One bucket: rid and at of the entries whose key occurs with two docs."""
+        key, at, doc, rid, flag, out_rid, out_at = [], [], [], [], [], [], []
+        for blob in table.column("blob"):
+            x = unpack(blob.as_py())
+            key.append(x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32))
+            at.append(x["at"])
+            doc.append(x["docs"][x["place"]])
+            rid.append(x["rids"][x["place"]])
+            flag.append(x["flag"])
+            out_rid.append(x["done_rids"][x["done_place"]])
+            out_at.append(x["done_at"])
+        key, at, doc, rid, flag = map(np.concatenate, (key, at, doc, rid, flag))
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
             edge = group_edges(key)
-            shared = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)
-            each = np.repeat(shared, np.diff(np.append(edge, len(key))))
-            flag = key[edge[shared]]
-            # minimizers met in two documents here are settled: only their hash goes on, once
-            sent = {b: {"flag": flag[i]} for b, i in split_by((flag % np.uint64(buckets)).astype(np.int64), buckets)}
-            done = np.flatnonzero(each)
-            for b, i in split_by(rid[done].astype(np.uint64) % np.uint64(buckets), buckets):
-                sent.setdefault(b, {}).update(done_rid=rid[done[i]], done_at=at[done[i]])
-            single = np.sort(order[~each])  # back in text order, which compresses
-            key, at, doc, rid = (x[n][single] for n in ("key", "at", "doc", "rid"))
-            for b, i in split_by((key % np.uint64(buckets)).astype(np.int64), buckets):
-                table, place = local_docs(rid[i])
-                ids = np.zeros(len(table), np.int64)
-                ids[place] = doc[i]
-                sent.setdefault(b, {}).update(key=key[i] // np.uint64(buckets) & np.uint64((1 << 48) - 1), at=at[i], place=place, rids=table, docs=ids)
-            out = []
-            for b, s in sent.items():
-                key = s.get("key", np.empty(0, np.uint64))
-                flag = s.get("flag", np.empty(0, np.uint64)) // np.uint64(buckets) & np.uint64((1 << 48) - 1)
-                none = np.empty(0, np.int64)
-                done_rids, done_place = local_docs(s.get("done_rid", none))
-                out.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), at=s.get("at", none).astype(np.uint32), place=s.get("place", none.astype(np.uint16)), rids=s.get("rids", none), docs=s.get("docs", none), flag=flag, done_rids=done_rids, done_place=done_place, done_at=s.get("done_at", none).astype(np.uint32))))
-            return _blobs(out)
+            shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | np.isin(key[edge], flag)
+            hit = order[np.repeat(shared, np.diff(np.append(edge, len(key))))]
+            out_rid.append(rid[hit])
+            out_at.append(at[hit])
+        return np.concatenate(out_rid), np.concatenate(out_at)
 
+
+def _send_minimizers(rule: Rule, buckets: int, flush: int):
+    def run(batches):
+        sharing = Sharing(buckets)
+        held = _Held(sharing.names)
         for batch in batches:
             for elements, doc, rid, _ in _rows(batch, rule):
                 for key, begin, _, _, row in runs(elements, rule):
                     held.add(key=key, at=begin - elements.first[row], doc=doc[row], rid=rid[row])
                 if held.n >= flush:
-                    yield emit()
+                    yield sharing.emit(held.take())
         if held.n:
-            yield emit()
+            yield sharing.emit(held.take())
 
     return run
 
 
 def _find_shared(table: pa.Table) -> pa.Table:
-    """One bucket: the runs whose minimizer occurs in two documents."""
-    key, at, doc, rid, flag, out_rid, out_at = [], [], [], [], [], [], []
-    for blob in table.column("blob"):
-        x = unpack(blob.as_py())
-        key.append(x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32))
-        at.append(x["at"])
-        doc.append(x["docs"][x["place"]])
-        rid.append(x["rids"][x["place"]])
-        flag.append(x["flag"])
-        out_rid.append(x["done_rids"][x["done_place"]])
-        out_at.append(x["done_at"])
-    key, at, doc, rid, flag = map(np.concatenate, (key, at, doc, rid, flag))
-    if len(key):
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        edge = group_edges(key)
-        shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | np.isin(key[edge], flag)
-        hit = order[np.repeat(shared, np.diff(np.append(edge, len(key))))]
-        out_rid.append(rid[hit])
-        out_at.append(at[hit])
-    return _results(np.concatenate(out_rid), np.concatenate(out_at))
+    return _results(*Sharing.shared(table))
 
 
 # ---- round 2
