@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard, langid, lz_dedup, packing, suffix_dedup, tokenfile, webp
+from . import chat, decontamination, jaccard, langid, lattice, lz_dedup, packing, suffix_dedup, tokenfile, webp
 from .tokens import public_path
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_file": lambda s, d: tokenfile.op5_token_file(documents(s, d), public_path("byte_bpe_50k.json")),
     "op6_chat_format": lambda s, d: chat.op6_chat_format(table(s, d, "conversations")),
     "op7_jaccard_join": lambda s, d: jaccard.op7_jaccard_join(documents(s, d)),
+    "op8_lattice_score": lambda s, d: lattice.op8_lattice_score(documents(s, d), public_path("piece_bpe_32k.model")),
     "op9_lossless_webp": lambda s, d: webp.op9_lossless_webp(documents(s, d)),
     "op10_passage_dedup": lambda s, d: lz_dedup.op10_passage_dedup(documents(s, d)),
 }
