@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .shared import prefix_sums, range_hash, utf8, words
 from .windows import Elements, Rule, covered, group_edges, repeated_windows
@@ -72,7 +73,7 @@ def lz_matcher(elements: Elements, least: np.ndarray, rule: Rule):
     yield which, at, windows
 
 
-def remove_passages(docs: DataFrame, size: int = 50, gram: int = 16, text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame, size: int = 50, gram: int = 16, text: str = "text", with_text: bool = False, carry: bool = False) -> DataFrame:
     """Remove each word covered by ``size`` words that also start in a document with a smaller doc_id.
 
     Per row: doc_id, n_words, n_removed and the sha256 of the kept words joined by one space;
@@ -80,7 +81,12 @@ def remove_passages(docs: DataFrame, size: int = 50, gram: int = 16, text: str =
     as empty; a null doc_id is neither smaller nor greater than any other.
     """
     spec = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    names = [x.split()[0] for x in spec.split(", ")]
+    names = [x.split()[0] for x in spec.split(", ")] + ["others"] * carry
+    repeats = repeated_windows(docs, Rule(size, gram, True), lz_matcher, text, carry=carry)
+    if carry:
+        schema = StructType([*StructType.fromDDL(spec).fields, repeats.schema["others"]])
+    else:
+        schema = spec
 
     def run(batches):
         for batch in batches:
@@ -102,10 +108,11 @@ def remove_passages(docs: DataFrame, size: int = 50, gram: int = 16, text: str =
                         kept.append(raw[start[at] : start[a] if a < len(start) else len(raw)])
                     at = b
                 rows.append((len(start), int((cut[:, 1] - cut[:, 0]).sum()), digest.hexdigest(), *([b"".join(kept).decode()] if with_text else [])))
-            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if k >= 2 else pa.int64()) for k, c in enumerate(columns))], names=names)
+            columns = list(zip(*rows, strict=True)) or [()] * (3 + with_text)
+            arrays = [pa.array(c, pa.string() if k >= 2 else pa.int64()) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *([batch.column(3)] if carry else [])], names=names)
 
-    return repeated_windows(docs, Rule(size, gram, True), lz_matcher, text).mapInArrow(run, spec)
+    return repeats.mapInArrow(run, schema)
 
 
 def op10_passage_dedup(docs: DataFrame) -> DataFrame:

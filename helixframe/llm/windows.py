@@ -406,11 +406,12 @@ def spans_of(which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return which[new], at[new], np.diff(np.append(new, len(which)))
 
 
-def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str = "text", flush: int = 3_000_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str = "text", flush: int = 3_000_000, carry: bool = False) -> DataFrame:
     """(doc_id, text, spans): spans of elements, as start << CODE | length, that repeat a smaller document's windows.
 
     A null doc_id compares with nothing and repeats nothing. Rows of one doc_id are each other's
-    equals: none is smaller. spans is null where nothing repeats; spans may overlap.
+    equals: none is smaller. spans is null where nothing repeats; spans may overlap. ``carry`` adds the
+    other columns of ``docs`` as one struct, ``others``.
     """
     if rule.gram >= rule.size:
         raise ValueError("a minimizer must be shorter than a window")
@@ -426,7 +427,11 @@ def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str =
     sent = joined.mapInArrow(_send_contents(rule, buckets, 16 * flush), blob)
     spans = sent.groupBy("bucket").applyInArrow(_match(rule, matcher), result)
     spans = spans.groupBy("rid").agg(F.collect_list("code").alias("spans"))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    if not carry:
+        return rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    others = F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", text)))
+    full = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"), others.alias("others"))
+    return full.join(spans, "rid", "left").select("doc_id", "text", "spans", "others")
 
 
 def covered(codes: list[int] | np.ndarray | None, n: int) -> np.ndarray:
