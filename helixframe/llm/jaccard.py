@@ -93,7 +93,7 @@ def describe(docs: DataFrame, gram: int, text: str) -> DataFrame:
 
 def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: int = 3_000_000) -> DataFrame:
     """(sig, shared): how many shingles of each set's extended prefix occur in another set's; sets without any are missing."""
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
 
     def send(batches):
         sharing = Sharing(buckets)
@@ -112,7 +112,7 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
                 prefix = np.minimum(prefix, size)
                 at = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix - edges[new], prefix)
                 who = np.repeat(sig[new], prefix)
-                held.add(key=shingle[at], at=np.zeros(len(at), np.uint8), doc=who, rid=who)
+                held.add(key=shingle[at], at=np.zeros(len(at), np.uint8), doc=who, salt=np.zeros(len(at), np.int32))
             if held.n >= flush:
                 yield sharing.emit(held.take())
                 seen.clear()
@@ -120,7 +120,7 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
             yield sharing.emit(held.take())
 
     def count(table: pa.Table) -> pa.Table:
-        sig, n = np.unique(Sharing.shared(table)[0], return_counts=True)
+        sig, n = np.unique(np.concatenate(Sharing.shared(table)[0]), return_counts=True)
         return pa.table({"sig": pa.array(sig.astype(np.int64)), "shared": pa.array(n.astype(np.int64))})
 
     sent = docs.select(text).mapInArrow(send, "bucket int, blob binary")

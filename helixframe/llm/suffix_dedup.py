@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import utf8
-from .windows import Elements, Rule, covered, group_edges, repeated_windows, spans_of
+from .windows import Elements, Rule, covered, group_edges, minimizers, repeated_windows, spans_of
 
 PERIOD = 7  # seven bytes fit a 64-bit key with room to spare
 COVER = (0, 1, 3)  # every difference modulo 7 occurs between two of these
@@ -44,8 +44,12 @@ class CoverRanks:
             reach *= 2
 
 
-def sorted_buckets(data: np.ndarray, places: np.ndarray, depth: int, bucket: int = 1 << 18):
-    """The suffixes at ``places`` in order of their first ``depth`` bytes at least, a bucket at a time."""
+def sorted_buckets(data: np.ndarray, places: np.ndarray, depth: int, bucket: int = 1 << 18, aligned: bool = False):
+    """The suffixes at ``places`` in order of their first ``depth`` bytes at least, a bucket at a time.
+
+    ``aligned``: equal suffixes are known to stand at the same residue of the period; a tie is then
+    settled inside each residue, and the residues of a tie follow one another.
+    """
     ranks = CoverRanks(data, depth)
     key = ranks.key[places]
     step = max(1, len(key) // 4096)
@@ -56,10 +60,13 @@ def sorted_buckets(data: np.ndarray, places: np.ndarray, depth: int, bucket: int
     edges = np.searchsorted(of[order], np.arange(len(splitters) + 2))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if a < b:
-            yield _sort_bucket(places[order[a:b]], key[order[a:b]], ranks.rank)
+            yield _sort_bucket(places[order[a:b]], key[order[a:b]], ranks.rank, aligned)
 
 
-def _sort_bucket(places: np.ndarray, key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _sort_bucket(places: np.ndarray, key: np.ndarray, rank: np.ndarray, aligned: bool) -> np.ndarray:
+    if aligned:
+        residue = places % PERIOD
+        return places[np.lexsort((rank[places + OFFSET[residue, residue]], residue, key))]
     order = np.argsort(key, kind="stable")
     places, key = places[order], key[order]
     edge = group_edges(key)
@@ -93,20 +100,35 @@ def same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np
 
 
 def suffix_matcher(elements: Elements, least: np.ndarray, rule: Rule):
-    """Windows of each content that stand, in any context, in a document smaller than the content's own."""
+    """Windows of each content that stand, in any context, in a document smaller than the content's own.
+
+    All windows of a content hold its minimizer, and equal windows hold it at the same place. Contents
+    are laid out with their minimizers at residue 0, so equal windows stand at equal residues.
+    """
     data, first, size = elements.data, elements.first, rule.size
-    count = np.diff(first) - size + 1
-    base = np.cumsum(count) - count
-    places = np.arange(count.sum()) - np.repeat(base - first[:-1], count)
+    key, place = minimizers(elements, rule)
+    # a minimizer with one context only: its windows occur in equal contents alone, which were merged
+    _, inverse, number = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(number[inverse] > 1)
+    length = np.diff(first)[some]
+    gap = -(np.cumsum(length) - length + place[some]) % PERIOD
+    shift = np.cumsum(np.diff(gap, prepend=0) % PERIOD)  # bytes put in before each content
+    start = np.cumsum(length) - length + shift
+    text = np.zeros(int(start[-1] + length[-1]) + 1 if len(some) else 0, np.uint8)
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    text[np.repeat(start, length) + inside] = data[np.repeat(first[some], length) + inside]
+    count = length - size + 1
+    places = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     found = []
-    for order in sorted_buckets(data, places, size):
-        owner = least[np.searchsorted(first, order, side="right") - 1]
-        edge = np.concatenate([[0], np.flatnonzero(~same_prefix(data, order[:-1], order[1:], size)) + 1])
+    for order in sorted_buckets(text, places, size, aligned=True) if len(some) else ():
+        owner = least[some[np.searchsorted(start, order, side="right") - 1]]
+        edge = np.concatenate([[0], np.flatnonzero(~same_prefix(text, order[:-1], order[1:], size)) + 1])
         smallest = np.repeat(np.minimum.reduceat(owner, edge), np.diff(np.append(edge, len(order))))
         found.append(order[smallest < owner])
     hit = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
-    which = np.searchsorted(first, hit, side="right") - 1
-    yield spans_of(which, hit - first[which])
+    which = np.searchsorted(start, hit, side="right") - 1
+    which, at, windows = spans_of(which, hit - start[which])
+    yield some[which], at, windows
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, gram: int = 16, text: str = "text", with_text: bool = False) -> DataFrame:

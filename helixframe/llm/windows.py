@@ -50,6 +50,7 @@ class Elements:
     first: np.ndarray
     start: np.ndarray | None = None
     end: np.ndarray | None = None
+    raw: bytes | None = None
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray, by_word: bool) -> Elements:
@@ -58,9 +59,13 @@ class Elements:
         hashes, first, start, end = word_hashes(data, offsets, lower=False, bounds=True)
         return cls(data, hashes, first, start, end)
 
-    def content(self, a: int, b: int) -> bytes:
-        """The bytes of elements ``a`` to ``b``."""
-        return self.data[a:b].tobytes() if self.start is None else self.data[self.start[a] : self.end[b - 1]].tobytes()
+    def contents(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The bytes of elements ``a`` to ``b`` of each pair."""
+        if self.raw is None:
+            self.raw = self.data.tobytes()
+        raw = self.raw
+        lo, hi = (a, b) if self.start is None else (self.start[a], self.end[b - 1])
+        return [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +77,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def runs(elements: Elements, rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(elements: Elements, rule: Rule, with_place: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """Per segment: minimizer hash, first window, number of windows and content hash of each run, and its row."""
     values, first = elements.values, elements.first
     n, size, gram = len(values), rule.size, rule.gram
@@ -98,10 +103,22 @@ def runs(elements: Elements, rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
             new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(at) != 1)]))
             begin = at[new]
             count = np.diff(np.append(new, len(at)))
-            yield grams[place[new]], begin + lo, count, range_hash(sums, begin, begin + count + size - 1), np.searchsorted(first, begin + lo, side="right") - 1
+            out = grams[place[new]], begin + lo, count, range_hash(sums, begin, begin + count + size - 1), np.searchsorted(first, begin + lo, side="right") - 1
+            yield (*out, place[new] + lo) if with_place else out
         lo += SEGMENT
 
 
+def minimizers(elements: Elements, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the minimizer of each row that is one run; rows longer than a run have their first."""
+    first = elements.first
+    key, place = np.zeros(len(first) - 1, np.uint64), np.zeros(len(first) - 1, np.int64)
+    for grams, begin, _, _, row, at in runs(elements, rule, with_place=True):
+        here, new = np.unique(row, return_index=True)
+        fresh = first[here] == begin[new]
+        key[here[fresh]], place[here[fresh]] = grams[new[fresh]], at[new[fresh]] - first[here[fresh]]
+    return key, place
+
+
 # ---- arrays on their way to a bucket
 
 
@@ -136,18 +153,28 @@ def split_by(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b, order[edges[b] : edges[b + 1]]
 
 
-def local_docs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different documents among ``doc`` and the place of each."""
-    table, place = np.unique(doc, return_inverse=True)
-    return table, place.astype(np.uint16 if len(table) < 1 << 16 else np.uint32)
+def pack_docs(doc: np.ndarray, salt: np.ndarray, prefix: str = "") -> dict[str, np.ndarray]:
+    """The different (doc, salt) rows in ascending order, ids as differences, and the place of each entry."""
+    order = np.lexsort((salt, doc))
+    d, s = doc[order], salt[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1])]) if len(d) else np.empty(0, bool)
+    place = np.empty(len(d), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return {f"{prefix}docs": np.diff(d[new], prepend=0), f"{prefix}salts": s[new].astype(np.int32), f"{prefix}place": place.astype(np.uint16 if new.sum() < 1 << 16 else np.uint32)}
+
+
+def unpack_docs(x: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """doc and salt of each entry."""
+    place = x[f"{prefix}place"]
+    return np.cumsum(x[f"{prefix}docs"])[place], x[f"{prefix}salts"][place]
 
 
 def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
 
-def _results(rid: np.ndarray, code: np.ndarray) -> pa.Table:
-    return pa.table({"rid": pa.array(rid.astype(np.int64)), "code": pa.array(code.astype(np.int64))})
+def _results(doc: list[np.ndarray], salt: list[np.ndarray], code: list[np.ndarray]) -> pa.Table:
+    return pa.table({n: pa.array(np.concatenate(x).astype(t)) for n, x, t in (("doc_id", doc, np.int64), ("salt", salt, np.int32), ("code", code, np.int64))})
 
 
 class _Held:
@@ -173,12 +200,12 @@ class _Held:
 
 
 def _rows(batch: pa.RecordBatch, rule: Rule, limit: int = 1 << 21):
-    """(elements, doc_id, rid, first row) for groups of whole rows of (doc_id, rid, text, ...)."""
+    """(elements, doc_id, salt, first row) for groups of whole rows of (doc_id, salt, text, ...)."""
     doc = np.asarray(batch.column(0).fill_null(0), np.int64)
-    rid = np.asarray(batch.column(1), np.int64)
+    salt = np.asarray(batch.column(1), np.int32)
     data, offsets = utf8(batch.column(2))
     for a, b in row_ranges(offsets, limit):
-        yield Elements.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], rule.by_word), doc[a:b], rid[a:b], a
+        yield Elements.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], rule.by_word), doc[a:b], salt[a:b], a
 
 
 def group_edges(x: np.ndarray) -> np.ndarray:
@@ -190,14 +217,14 @@ def group_edges(x: np.ndarray) -> np.ndarray:
 
 
 class Sharing:
-    """Finds which (key, rid) entries have a key that occurs with two different docs.
+    """Finds which entries have a key that occurs with two different docs; salt tells rows of one doc apart.
 
     ``emit`` turns the entries of a map task into compressed arrays per bucket. Keys met with two docs
     there are settled at once: only their hash goes on, so a key that a third of all documents has
     costs one entry per flush.
     """
 
-    names = "key at doc rid"
+    names = "key at doc salt"
 
     def __init__(self, buckets: int):
         self.buckets = buckets
@@ -216,45 +243,42 @@ class Sharing:
         flag = key[edge[shared]]
         sent = {b: {"flag": self._short(flag[i])} for b, i in split_by((flag % np.uint64(n)).astype(np.int64), n)}
         done = order[each]
-        for b, i in split_by((x["rid"][done].astype(np.uint64) % np.uint64(n)).astype(np.int64), n):
-            sent.setdefault(b, {}).update(done_rid=x["rid"][done[i]], done_at=x["at"][done[i]])
+        for b, i in split_by((mix(x["doc"][done]) % np.uint64(n)).astype(np.int64), n):
+            sent.setdefault(b, {})["done"] = done[i]
         single = np.sort(order[~each])  # back in text order, which compresses
         for b, i in split_by((x["key"][single] % np.uint64(n)).astype(np.int64), n):
-            i = single[i]
-            table, place = local_docs(x["rid"][i])
-            ids = np.zeros(len(table), np.int64)
-            ids[place] = x["doc"][i]
-            sent.setdefault(b, {}).update(key=self._short(x["key"][i]), at=x["at"][i], place=place, rids=table, docs=ids)
+            sent.setdefault(b, {})["open"] = single[i]
         out = []
         for b, s in sent.items():
-            key = s.get("key", none.astype(np.uint64))
-            done_rids, done_place = local_docs(s.get("done_rid", none))
-            out.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), at=s.get("at", none).astype(np.uint32), place=s.get("place", none.astype(np.uint16)), rids=s.get("rids", none), docs=s.get("docs", none), flag=s.get("flag", none.astype(np.uint64)), done_rids=done_rids, done_place=done_place, done_at=s.get("done_at", none).astype(np.uint32))))
+            i, j = s.get("open", none), s.get("done", none)
+            key = self._short(x["key"][i])
+            out.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), at=x["at"][i].astype(np.uint32), flag=s.get("flag", none.astype(np.uint64)), done_at=x["at"][j].astype(np.uint32), **pack_docs(x["doc"][i], x["salt"][i]), **pack_docs(x["doc"][j], x["salt"][j], "done_"))))
         return _blobs(out)
 
     @staticmethod
-    def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """One bucket: rid and at of the entries whose key occurs with two docs."""
-        key, at, doc, rid, flag, out_rid, out_at = [], [], [], [], [], [], []
+    def shared(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """One bucket: doc, salt and at of the entries whose key occurs with two docs."""
+        key, at, doc, salt, flag, out_doc, out_salt, out_at = [], [], [], [], [], [], [], []
         for blob in table.column("blob"):
             x = unpack(blob.as_py())
             key.append(x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32))
             at.append(x["at"])
-            doc.append(x["docs"][x["place"]])
-            rid.append(x["rids"][x["place"]])
             flag.append(x["flag"])
-            out_rid.append(x["done_rids"][x["done_place"]])
             out_at.append(x["done_at"])
-        key, at, doc, rid, flag = map(np.concatenate, (key, at, doc, rid, flag))
+            for docs, salts, prefix in ((doc, salt, ""), (out_doc, out_salt, "done_")):
+                d, s = unpack_docs(x, prefix)
+                docs.append(d)
+                salts.append(s)
+        key, at, doc, salt, flag = map(np.concatenate, (key, at, doc, salt, flag))
         if len(key):
             order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
+            key, by_key = key[order], doc[order]
             edge = group_edges(key)
-            shared = (np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge)) | np.isin(key[edge], flag)
+            shared = (np.minimum.reduceat(by_key, edge) != np.maximum.reduceat(by_key, edge)) | np.isin(key[edge], flag)
             hit = order[np.repeat(shared, np.diff(np.append(edge, len(key))))]
-            out_rid.append(rid[hit])
-            out_at.append(at[hit])
-        return np.concatenate(out_rid), np.concatenate(out_at)
+            for out, values in ((out_doc, doc), (out_salt, salt), (out_at, at)):
+                out.append(values[hit])
+        return out_doc, out_salt, out_at
 
 
 def _send_minimizers(rule: Rule, buckets: int, flush: int):
@@ -262,9 +286,9 @@ def _send_minimizers(rule: Rule, buckets: int, flush: int):
         sharing = Sharing(buckets)
         held = _Held(sharing.names)
         for batch in batches:
-            for elements, doc, rid, _ in _rows(batch, rule):
+            for elements, doc, salt, _ in _rows(batch, rule):
                 for key, begin, _, _, row in runs(elements, rule):
-                    held.add(key=key, at=begin - elements.first[row], doc=doc[row], rid=rid[row])
+                    held.add(key=key, at=begin - elements.first[row], doc=doc[row], salt=salt[row])
                 if held.n >= flush:
                     yield sharing.emit(held.take())
         if held.n:
@@ -282,15 +306,10 @@ def _find_shared(table: pa.Table) -> pa.Table:
 
 def _send_contents(rule: Rule, buckets: int, flush: int):
     def run(batches):
-        held, contents = _Held("key begin count content doc rid length"), []
+        held, contents = _Held("key begin count content doc salt"), []
 
         def emit():
             x = held.take()
-            length = x["length"]
-            offset = np.zeros(len(length) + 1, np.int64)
-            np.cumsum(length, out=offset[1:])
-            data = np.frombuffer(b"".join(contents), np.uint8)
-            contents.clear()
             # of equal runs the smallest document's stay; in any other document they are repeats
             order = np.lexsort((x["doc"], x["content"]))
             edge = group_edges(x["content"][order])
@@ -301,25 +320,23 @@ def _send_contents(rule: Rule, buckets: int, flush: int):
             stay = np.flatnonzero(x["doc"] == least)
             none = np.empty(0, np.int64)
             sent: dict[int, dict] = {}
-            for b, i in split_by(x["rid"][again].astype(np.uint64) % np.uint64(buckets), buckets):
-                i = again[i]
-                sent[b] = {"done_rid": x["rid"][i], "done_code": x["begin"][i] << CODE | (x["count"][i] + rule.size - 1)}
+            for b, i in split_by((mix(x["doc"][again]) % np.uint64(buckets)).astype(np.int64), buckets):
+                sent.setdefault(b, {})["done"] = again[i]
             for b, i in split_by((x["key"][stay] % np.uint64(buckets)).astype(np.int64), buckets):
-                sent.setdefault(b, {})["runs"] = stay[i]
+                sent.setdefault(b, {})["open"] = stay[i]
             out = []
             for b, s in sent.items():
-                i = s.get("runs", none)
-                table, place = local_docs(x["rid"][i])
-                ids = np.zeros(len(table), np.int64)
-                ids[place] = x["doc"][i]
-                done, done_place = local_docs(s.get("done_rid", none))
-                text = b"".join(data[offset[j] : offset[j + 1]].tobytes() for j in i.tolist())
-                out.append((b, pack(text=text, length=length[i].astype(np.uint32), begin=x["begin"][i], place=place, rids=table, docs=ids, done_rids=done, done_place=done_place, done_code=s.get("done_code", none))))
+                i, j = s.get("open", none), s.get("done", none)
+                texts = [contents[k] for k in i.tolist()]
+                length = np.fromiter(map(len, texts), np.uint32, len(texts))
+                code = x["begin"][j] << CODE | (x["count"][j] + rule.size - 1)
+                out.append((b, pack(text=b"".join(texts), length=length, begin=x["begin"][i], done_code=code, **pack_docs(x["doc"][i], x["salt"][i]), **pack_docs(x["doc"][j], x["salt"][j], "done_"))))
+            contents.clear()
             return _blobs(out)
 
         size = 0
         for batch in batches:
-            for elements, doc, rid, base in _rows(batch, rule):
+            for elements, doc, salt, base in _rows(batch, rule):
                 # one sorted array of row << 40 | place for all runs wanted of these rows
                 ps = batch.column(3).slice(base, len(doc))
                 if ps.null_count == len(ps):
@@ -333,11 +350,10 @@ def _send_contents(rule: Rule, buckets: int, flush: int):
                     keep = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == code)
                     if not len(keep):
                         continue
-                    texts = [elements.content(b, b + c + rule.size - 1) for b, c in zip(begin[keep].tolist(), count[keep].tolist(), strict=True)]
-                    length = np.array([len(t) for t in texts], np.int64)
-                    contents.append(b"".join(texts))
-                    held.add(key=key[keep], begin=at[keep], count=count[keep], content=content[keep], doc=doc[row[keep]], rid=rid[row[keep]], length=length)
-                    size += int(length.sum())
+                    texts = elements.contents(begin[keep], begin[keep] + count[keep] + rule.size - 1)
+                    contents += texts
+                    held.add(key=key[keep], begin=at[keep], count=count[keep], content=content[keep], doc=doc[row[keep]], salt=salt[row[keep]])
+                    size += sum(map(len, texts))
                 if size >= flush:
                     yield emit()
                     size = 0
@@ -354,17 +370,18 @@ def _match(rule: Rule, matcher: Matcher):
     """One bucket: spans of windows that occur in a smaller document."""
 
     def run(table: pa.Table) -> pa.Table:
-        text, length, begin, doc, rid, out_rid, out_code = [], [], [], [], [], [], []
+        text, length, begin, doc, salt, out_doc, out_salt, out_code = [], [], [], [], [], [], [], []
         for blob in table.column("blob"):
             x = unpack(blob.as_py())
             text.append(x["text"])
             length.append(x["length"].astype(np.int64))
             begin.append(x["begin"])
-            doc.append(x["docs"][x["place"]])
-            rid.append(x["rids"][x["place"]])
-            out_rid.append(x["done_rids"][x["done_place"]])
             out_code.append(x["done_code"])
-        length, begin, doc, rid = map(np.concatenate, (length, begin, doc, rid))
+            for docs, salts, prefix in ((doc, salt, ""), (out_doc, out_salt, "done_")):
+                d, s = unpack_docs(x, prefix)
+                docs.append(d)
+                salts.append(s)
+        length, begin, doc, salt = map(np.concatenate, (length, begin, doc, salt))
         if len(length):
             raw = b"".join(text)
             offset = np.zeros(len(length) + 1, np.int64)
@@ -381,7 +398,8 @@ def _match(rule: Rule, matcher: Matcher):
             elements = Elements.of(data, bounds, rule.by_word)
             count = np.diff(elements.first)
             again = doc > least[of]
-            out_rid.append(rid[again])
+            out_doc.append(doc[again])
+            out_salt.append(salt[again])
             out_code.append(begin[again] << CODE | count[of[again]])
             # windows of a content that a smaller document has in another context
             own = np.flatnonzero(~again)
@@ -391,9 +409,10 @@ def _match(rule: Rule, matcher: Matcher):
                 lo, hi = np.searchsorted(holder, which), np.searchsorted(holder, which, side="right")
                 each = hi - lo
                 i = own[np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)]
-                out_rid.append(rid[i])
+                out_doc.append(doc[i])
+                out_salt.append(salt[i])
                 out_code.append(begin[i] + np.repeat(at, each) << CODE | np.repeat(windows, each) + rule.size - 1)
-        return _results(np.concatenate(out_rid), np.concatenate(out_code))
+        return _results(out_doc, out_salt, out_code)
 
     return run
 
@@ -415,23 +434,24 @@ def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str =
     """
     if rule.gram >= rule.size:
         raise ValueError("a minimizer must be shorter than a window")
-    buckets = 2 * partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"))
-    blob, result = "bucket int, blob binary", "rid long, code long"
+    buckets = partitions(docs.sparkSession)
+    salt = F.shiftright(F.xxhash64(text), 32).cast("int")
+    rows = docs.select("doc_id", salt.alias("salt"), F.col(text).alias("text"))
+    blob, result, row = "bucket int, blob binary", "doc_id long, salt int, code long", ["doc_id", "salt"]
     known = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sent = known.mapInArrow(_send_minimizers(rule, buckets, flush), blob)
     shared = sent.groupBy("bucket").applyInArrow(lambda t: _find_shared(t), result)
-    shared = shared.groupBy("rid").agg(F.collect_list("code").alias("places"))
+    shared = shared.groupBy(*row).agg(F.collect_list("code").alias("places"))
     # both joins deal out the same rows by the same key: the text is shuffled once
-    joined = rows.join(shared, "rid", "left").select("doc_id", "rid", F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
+    joined = rows.join(shared, row, "left").select(*row, F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
     sent = joined.mapInArrow(_send_contents(rule, buckets, 16 * flush), blob)
     spans = sent.groupBy("bucket").applyInArrow(_match(rule, matcher), result)
-    spans = spans.groupBy("rid").agg(F.collect_list("code").alias("spans"))
+    spans = spans.groupBy(*row).agg(F.collect_list("code").alias("spans"))
     if not carry:
-        return rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
+        return rows.join(spans, row, "left").select("doc_id", "text", "spans")
     others = F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", text)))
-    full = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.col(text).alias("text"), others.alias("others"))
-    return full.join(spans, "rid", "left").select("doc_id", "text", "spans", "others")
+    full = docs.select("doc_id", salt.alias("salt"), F.col(text).alias("text"), others.alias("others"))
+    return full.join(spans, row, "left").select("doc_id", "text", "spans", "others")
 
 
 def covered(codes: list[int] | np.ndarray | None, n: int) -> np.ndarray:
