@@ -73,8 +73,8 @@ def genotype_strings() -> Column:
 
     def one(g: Column, i: Column) -> Column:
         names = F.transform(F.filter(g, lambda c: c > -2), lambda c: F.when(c >= 0, F.try_element_at(alleles(), c + 1)).otherwise("."))
-        mark = F.when(F.coalesce(F.try_element_at("phased", i + 1), F.lit(False)), "|").otherwise("/")
-        return F.when(F.size(names) > 0, F.array_join(names, mark)).otherwise(".")
+        phased = F.coalesce(F.try_element_at("phased", i + 1), F.lit(False))
+        return F.when(F.size(names) > 0, F.when(phased, F.array_join(names, "|")).otherwise(F.array_join(names, "/"))).otherwise(".")
 
     return F.transform("gt", one)
 

@@ -167,7 +167,8 @@ def correlation(two: DataFrame, n: int) -> DataFrame:
     c = covariance(two, n)
     var = c.where("i = j").select("type", "i", F.when(F.col("cov") > 1e-12 * F.col("mi") * F.col("mj"), F.col("cov")).otherwise(0.0).alias("var"))
     out = c.join(var.select("type", "i", F.col("var").alias("vi")), ["type", "i"]).join(var.select("type", F.col("i").alias("j"), F.col("var").alias("vj")), ["type", "j"])
-    r = F.when((F.col("vi") > 0) & (F.col("vj") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))))).otherwise(0.0)
+    signal = F.abs("cov") > 1e-12 * F.col("mi") * F.col("mj")
+    r = F.when(signal & (F.col("vi") > 0) & (F.col("vj") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / F.sqrt(F.col("vi") * F.col("vj"))))).otherwise(0.0)
     return out.select("type", "i", "j", r.alias("corr"))
 
 

@@ -1,0 +1,619 @@
+"""Spectra on the driver: small dense arrays with their algebra, files and plots' data."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+
+from ..functions.hypergeometric import pmf_vector
+
+
+class Arithmetic:
+    """Element-wise operators on ``data``, which is a numpy array."""
+
+    data: np.ndarray
+
+    def _new(self, data):
+        return type(self)(data)
+
+    def _other(self, other):
+        return other.data if isinstance(other, Arithmetic) else np.asarray(list(other), float) if isinstance(other, Iterable) and not isinstance(other, np.ndarray) else other
+
+    def __add__(self, o):
+        return self._new(self.data + self._other(o))
+
+    def __sub__(self, o):
+        return self._new(self.data - self._other(o))
+
+    def __mul__(self, o):
+        return self._new(self.data * self._other(o))
+
+    def __truediv__(self, o):
+        return self._new(self.data / self._other(o))
+
+    def __floordiv__(self, o):
+        return self._new(self.data // self._other(o))
+
+    def __pow__(self, o):
+        return self._new(self.data ** self._other(o))
+
+    def __rsub__(self, o):
+        return self._new(self._other(o) - self.data)
+
+    def __rtruediv__(self, o):
+        return self._new(self._other(o) / self.data)
+
+    __radd__, __rmul__ = __add__, __mul__
+
+    def __len__(self):
+        return len(self.data)
+
+    def __iter__(self):
+        return iter(self.data)
+
+    def __array__(self, dtype=None, copy=None):
+        return np.array(self.data, dtype)
+
+    def __getitem__(self, i):
+        return self.data[i]
+
+    def __eq__(self, o):
+        return type(self) is type(o) and np.array_equal(self.data, o.data)
+
+    @property
+    def shape(self):
+        return self.data.shape
+
+    def copy(self):
+        return self._new(self.data.copy())
+
+    def to_numpy(self) -> np.ndarray:
+        return self.data.copy()
+
+    def to_list(self) -> list:
+        return self.data.tolist()
+
+    def to_json(self) -> str:
+        return json.dumps({"kind": type(self).__name__, "data": self.data.tolist()})
+
+    @classmethod
+    def from_json(cls, text: str):
+        body = json.loads(text)
+        if body.get("kind") != cls.__name__:
+            raise ValueError(f"holds a {body.get('kind')}, not a {cls.__name__}")
+        return cls(np.array(body["data"], float))
+
+
+class Spectrum(Arithmetic):
+    """A one-dimensional spectrum: masses of 0 to n derived alleles."""
+
+    def __init__(self, data: Iterable[float]):
+        self.data = np.array(list(data) if not isinstance(data, np.ndarray) else data, float)
+
+    @property
+    def n(self) -> int:
+        return len(self.data) - 1
+
+    @property
+    def n_sites(self) -> float:
+        return float(self.data.sum())
+
+    @property
+    def n_div(self) -> float:
+        return float(self.data[-1])
+
+    @property
+    def has_div(self) -> bool:
+        return self.n_div != 0
+
+    @property
+    def polymorphic(self) -> np.ndarray:
+        return self.data[1:-1].copy()
+
+    @property
+    def n_polymorphic(self) -> float:
+        return float(self.data[1:-1].sum())
+
+    @property
+    def n_monomorphic(self) -> float:
+        return float(self.data[0] + self.data[-1])
+
+    @property
+    def Theta(self) -> float:
+        """Watterson's estimator over all sites."""
+        return self.n_polymorphic / sum(1 / i for i in range(1, self.n))
+
+    @property
+    def theta(self) -> float:
+        return self.Theta / self.n_sites
+
+    def fold(self) -> Spectrum:
+        mid, out = (self.n + 1) // 2, self.data.copy()
+        upper = out[::-1][:mid].copy()
+        out[:mid] += upper
+        out[len(out) - mid :] = 0
+        return Spectrum(out)
+
+    def is_folded(self) -> bool:
+        return bool((self.data[len(self.data) - (self.n + 1) // 2 :] == 0).all())
+
+    def misidentify(self, epsilon: float) -> Spectrum:
+        out = self.data.copy()
+        out[1:-1] = (1 - epsilon) * out[1:-1] + epsilon * out[1:-1][::-1]
+        return Spectrum(out)
+
+    def subsample(self, n: int, mode: str = "probabilistic", seed: int | None = None) -> Spectrum:
+        """Project to ``n``; ``random`` keeps the monomorphic bins and draws every interior site once."""
+        if not 0 < n < self.n:
+            raise ValueError("the new sample size must be smaller")
+        folded = self.is_folded()
+        out = np.zeros(n + 1)
+        if mode == "random":
+            rng = np.random.default_rng(seed)
+            out[0], out[-1] = self.data[0], self.data[-1]
+            for i in range(1, self.n):
+                np.add.at(out, rng.hypergeometric(i, self.n - i, n, int(self.data[i])), 1)
+        else:
+            for i, x in enumerate(self.data):
+                if x:
+                    out += x * pmf_vector(self.n, i, n)
+        result = Spectrum(out)
+        return result.fold() if folded else result
+
+    def resample(self, seed: int | None = None) -> Spectrum:
+        return Spectrum(np.random.default_rng(seed).poisson(self.data).astype(float))
+
+    def normalize(self) -> Spectrum:
+        """The interior divided by its sum."""
+        out = self.data.copy()
+        out[1:-1] /= out[1:-1].sum()
+        return Spectrum(out)
+
+    def scale_theta(self, theta: float) -> Spectrum:
+        out = self.data.copy()
+        out[1:-1] *= theta / self.theta
+        out[0] += self.n_polymorphic - out[1:-1].sum()
+        return Spectrum(out)
+
+    def to_spectra(self, name: str = "all") -> Spectra:
+        return Spectra({name: self})
+
+    @classmethod
+    def from_polymorphic(cls, data: Iterable[float]) -> Spectrum:
+        return cls([0, *data, 0])
+
+    @classmethod
+    def from_polydfe(cls, polymorphic: Iterable[float], n_sites: float, n_div: float = 0) -> Spectrum:
+        inner = list(polymorphic)
+        return cls([n_sites - sum(inner) - n_div, *inner, n_div])
+
+    @classmethod
+    def standard_kingman(cls, n: int, n_monomorphic: float = 0) -> Spectrum:
+        return cls([n_monomorphic, *(1 / i for i in range(1, n)), 0])
+
+    @classmethod
+    def get_neutral(cls, theta: float, n_sites: float, n: int, r: Sequence[float] | None = None) -> Spectrum:
+        """theta / i times the sites, each interior bin times ``r`` where given; bin 0 takes the rest."""
+        inner = theta * n_sites / np.arange(1, n) * (np.ones(n - 1) if r is None else np.asarray(r, float))
+        return cls([n_sites - inner.sum(), *inner, 0])
+
+    def to_file(self, path: str) -> None:
+        self.to_spectra().to_file(path)
+
+    @classmethod
+    def from_file(cls, path: str) -> Spectrum:
+        return Spectra.from_file(path).all
+
+
+class Spectra:
+    """Spectra of one sample size by type; a dot in a type separates levels."""
+
+    def __init__(self, data: dict[str, Iterable[float]] | pd.DataFrame | None = None):
+        items = {k: data[k].to_numpy() for k in data.columns} if isinstance(data, pd.DataFrame) else dict(data or {})
+        self.spectra = {str(k): v if isinstance(v, Spectrum) else Spectrum(v) for k, v in items.items()}
+        if len({s.n for s in self.spectra.values()}) > 1:
+            raise ValueError("the spectra differ in sample size")
+
+    @classmethod
+    def from_long(cls, rows: pd.DataFrame, n: int) -> Spectra:
+        """From a collected (type, bin, mass) frame."""
+        out = {}
+        for kind, part in rows.groupby("type", sort=True):
+            x = np.zeros(n + 1)
+            x[part["bin"].to_numpy(int)] = part["mass"]
+            out[kind] = x
+        return cls(out)
+
+    @classmethod
+    def from_list(cls, data: Sequence[Iterable[float]], types: Sequence[str]) -> Spectra:
+        return cls(dict(zip(types, data, strict=True)))
+
+    @classmethod
+    def from_spectrum(cls, s: Spectrum) -> Spectra:
+        return cls({"all": s})
+
+    @classmethod
+    def get_empty(cls, n: int, types: Sequence[str] = ()) -> Spectra:
+        return cls({t: np.zeros(n + 1) for t in types})
+
+    def _map(self, f) -> Spectra:
+        return Spectra({k: f(s) for k, s in self.spectra.items()})
+
+    @property
+    def types(self) -> list[str]:
+        return list(self.spectra)
+
+    @property
+    def n(self) -> int:
+        return next(iter(self.spectra.values())).n
+
+    @property
+    def k(self) -> int:
+        return len(self.spectra)
+
+    def __len__(self):
+        return self.k
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.spectra)
+
+    def _series(self, name: str) -> pd.Series:
+        return pd.Series({k: getattr(s, name) for k, s in self.spectra.items()}, dtype=float)
+
+    def __getattr__(self, name: str):
+        if name in ("n_sites", "n_div", "n_monomorphic", "n_polymorphic", "theta", "Theta"):
+            return self._series(name)
+        raise AttributeError(name)
+
+    @property
+    def has_div(self) -> pd.Series:
+        return pd.Series({k: s.has_div for k, s in self.spectra.items()})
+
+    @property
+    def polymorphic(self) -> pd.DataFrame:
+        return self.to_dataframe().iloc[1:-1]
+
+    @property
+    def all(self) -> Spectrum:
+        if not self.spectra:
+            raise ValueError("no spectra")
+        return Spectrum(np.sum([s.data for s in self.spectra.values()], axis=0))
+
+    to_spectrum = property(lambda self: self.all)
+
+    def is_empty(self) -> bool:
+        return not any(s.data.any() for s in self.spectra.values())
+
+    def is_folded(self) -> dict[str, bool]:
+        return {k: s.is_folded() for k, s in self.spectra.items()}
+
+    def fold(self):
+        return self._map(Spectrum.fold)
+
+    def subsample(self, n: int, mode: str = "probabilistic", seed: int | None = None):
+        seeds = np.random.SeedSequence(seed).spawn(len(self.spectra))
+        return Spectra({k: s.subsample(n, mode, q) for (k, s), q in zip(self.spectra.items(), seeds, strict=True)})
+
+    def resample(self, seed: int | None = None):
+        seeds = np.random.SeedSequence(seed).spawn(len(self.spectra))
+        return Spectra({k: s.resample(q) for (k, s), q in zip(self.spectra.items(), seeds, strict=True)})
+
+    def normalize(self) -> Spectra:
+        """Each type divided by its total; an empty one stays."""
+        return self._map(lambda s: s / (s.data.sum() or 1))
+
+    def __add__(self, other):
+        if not isinstance(other, Spectra):
+            return self._map(lambda s: s + other)
+        if self.spectra and other.spectra and self.n != other.n:
+            raise ValueError("the spectra differ in sample size")
+        zero = Spectrum(np.zeros((self if self.spectra else other).n + 1))
+        return Spectra({k: self.spectra.get(k, zero) + other.spectra.get(k, zero) for k in [*self.spectra, *(k for k in other if k not in self.spectra)]})
+
+    def _scale(self, other, f):
+        get = other.get if isinstance(other, (pd.Series, dict)) else lambda k, d=None: other
+        return Spectra({k: f(s, get(k, np.nan)) for k, s in self.spectra.items()})
+
+    def __mul__(self, other):
+        return self._scale(other, lambda s, x: s * x)
+
+    def __truediv__(self, other):
+        return self._scale(other, lambda s, x: s / x)
+
+    def __floordiv__(self, other):
+        return self._scale(other, lambda s, x: s // x)
+
+    __rmul__ = __mul__
+
+    def select(self, keys: str | Sequence[str], regex: bool = True) -> Spectra:
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        return Spectra({t: s for t, s in self.spectra.items() if any(re.fullmatch(k, t) if regex else k == t for k in keys)})
+
+    def __getitem__(self, keys):
+        found = self.select(keys)
+        if isinstance(keys, str):
+            if not found.spectra:
+                raise KeyError(keys)
+            if found.k == 1:
+                return next(iter(found.spectra.values()))
+        return found
+
+    def __setitem__(self, key: str, s: Spectrum):
+        self.spectra[key] = s
+
+    def merge_groups(self, levels: int | Sequence[int] = 0) -> Spectra:
+        levels = [levels] if isinstance(levels, int) else list(levels)
+        out: dict[str, Spectrum] = {}
+        for t, s in self.spectra.items():
+            parts = t.split(".")
+            if max(levels) >= len(parts):
+                raise ValueError(f"too few levels: {t}")
+            key = ".".join(parts[k] for k in levels)
+            out[key] = out[key] + s if key in out else s
+        return Spectra(out)
+
+    def reorder_levels(self, order: Sequence[int]) -> Spectra:
+        return Spectra({".".join(t.split(".")[k] for k in order): s for t, s in self.spectra.items()})
+
+    def rename(self, names: Sequence[str]) -> Spectra:
+        return Spectra(dict(zip(names, self.spectra.values(), strict=True)))
+
+    def prefix(self, text: str) -> Spectra:
+        return Spectra({f"{text}.{t}": s for t, s in self.spectra.items()})
+
+    def replace_dots(self, by: str = "_") -> Spectra:
+        return Spectra({t.replace(".", by): s for t, s in self.spectra.items()})
+
+    def has_dots(self) -> bool:
+        return any("." in t for t in self.spectra)
+
+    def combine(self, other: Spectra) -> Spectra:
+        return Spectra({**self.spectra, **other.spectra})
+
+    def drop_empty(self) -> Spectra:
+        return Spectra({t: s for t, s in self.spectra.items() if s.data.any()})
+
+    def drop_zero_entries(self) -> Spectra:
+        return Spectra({t: s for t, s in self.spectra.items() if s.data[:-1].all()})
+
+    def drop_sparse(self, least: float) -> Spectra:
+        return Spectra({t: s for t, s in self.spectra.items() if s.n_polymorphic > least})
+
+    def sort_types(self) -> Spectra:
+        return Spectra(dict(sorted(self.spectra.items())))
+
+    def copy(self) -> Spectra:
+        return self._map(Spectrum.copy)
+
+    def to_dict(self) -> dict[str, Spectrum]:
+        return dict(self.spectra)
+
+    def to_list(self) -> list[list[float]]:
+        return [s.to_list() for s in self.spectra.values()]
+
+    def to_numpy(self) -> np.ndarray:
+        return np.array([s.data for s in self.spectra.values()])
+
+    def to_dataframe(self) -> pd.DataFrame:
+        return pd.DataFrame({t: s.data for t, s in self.spectra.items()})
+
+    def to_file(self, path: str) -> None:
+        self.to_dataframe().to_csv(path, index=False)
+
+    @classmethod
+    def from_file(cls, path: str) -> Spectra:
+        try:
+            return cls(pd.read_csv(path))
+        except pd.errors.EmptyDataError:
+            return cls()
+
+    def to_json(self) -> str:
+        return json.dumps({"kind": "Spectra", "data": {t: s.to_list() for t, s in self.spectra.items()}})
+
+    @classmethod
+    def from_json(cls, text: str) -> Spectra:
+        body = json.loads(text)
+        if body.get("kind") != "Spectra":
+            raise ValueError(f"holds a {body.get('kind')}, not Spectra")
+        return cls(body["data"])
+
+
+class TwoSFS(Arithmetic):
+    """A square pair spectrum; ``n`` is its dimension."""
+
+    def __init__(self, data):
+        self.data = np.array(data, float)
+        if self.data.ndim != 2 or self.data.shape[0] != self.data.shape[1]:
+            raise ValueError("a pair spectrum is square")
+
+    @property
+    def n(self) -> int:
+        return len(self.data)
+
+    @property
+    def w(self) -> int:
+        return -(-self.n // 2)
+
+    def _fold_rows(self, x: np.ndarray) -> np.ndarray:
+        half = self.n // 2
+        out = x.copy()
+        out[:half] += x[self.n - half :][::-1]
+        out[self.n - half :] = 0
+        return out
+
+    def fold(self) -> TwoSFS:
+        return TwoSFS(self._fold_rows(self._fold_rows(self.data).T).T)
+
+    def is_folded(self) -> bool:
+        return not (self.data[self.w :].any() or self.data[:, self.w :].any())
+
+    def symmetrize(self) -> TwoSFS:
+        return TwoSFS((self.data + self.data.T) / 2)
+
+    def _embed(self, inner: np.ndarray) -> TwoSFS:
+        out = np.zeros_like(self.data)
+        out[1:-1, 1:-1] = inner
+        return TwoSFS(out)
+
+    def interior(self, normalize: bool = False) -> TwoSFS:
+        inner = self.data[1:-1, 1:-1]
+        if normalize and not inner.sum():
+            raise ValueError("the interior is empty")
+        return self._embed(inner / inner.sum() if normalize else inner)
+
+    def _covariance(self) -> tuple[np.ndarray, np.ndarray]:
+        if not np.isfinite(self.data).all():
+            raise ValueError("the spectrum is not finite")
+        total = self.data.sum()
+        if not total:
+            raise ValueError("the spectrum is empty")
+        p = (self.data + self.data.T) / 2 / total
+        if not (p[0].any() or p[-1].any()):
+            raise ValueError("no pairs with monomorphic sites")
+        m = p.sum(axis=0)
+        return p - np.outer(m, m), m
+
+    def cov(self) -> TwoSFS:
+        return self._embed(self._covariance()[0][1:-1, 1:-1])
+
+    def corr(self) -> TwoSFS:
+        c, m = self._covariance()
+        floor = 1e-12 * np.outer(m, m)
+        sd = np.sqrt(np.where(np.diag(c) > np.diag(floor), np.diag(c), 0))
+        scale = np.outer(sd, sd)
+        r = np.divide(c, scale, out=np.zeros_like(c), where=(scale > 0) & (np.abs(c) > floor))
+        return self._embed(np.clip(r, -1, 1)[1:-1, 1:-1])
+
+    def fpmi(self) -> TwoSFS:
+        inner = self.data[1:-1, 1:-1]
+        p = (inner + inner.T) / 2 / inner.sum()
+        m = p.sum(axis=0)
+        return self._embed(np.log(np.divide(p, np.outer(m, m), out=np.ones_like(p), where=p > 0)))
+
+    def fill_monomorphic(self, value: float = 0) -> TwoSFS:
+        out = np.full_like(self.data, value)
+        out[1:-1, 1:-1] = self.data[1:-1, 1:-1]
+        return TwoSFS(out)
+
+    def mask_diagonal(self, value: float = np.nan) -> TwoSFS:
+        out = self.data.copy()
+        i = np.arange(self.n)
+        out[i, i] = out[i, i[::-1]] = value
+        return TwoSFS(out)
+
+    def mask_upper(self, value: float = np.nan) -> TwoSFS:
+        out = self.data.copy()
+        out[np.triu_indices(self.n, 1)] = value
+        return TwoSFS(out)
+
+    def get_max_abs(self) -> float:
+        return float(np.nanmax(np.abs(self.data)))
+
+
+class JointSFS(Arithmetic):
+    """A spectrum of several populations."""
+
+    def __init__(self, data, pop_names: Sequence[str] | None = None):
+        self.data = np.array(data, float)
+        self.pop_names = list(pop_names) if pop_names is not None else [f"pop_{i}" for i in range(self.data.ndim)]
+        if len(self.pop_names) != self.data.ndim:
+            raise ValueError("one name per population")
+
+    def _new(self, data):
+        return JointSFS(data, self.pop_names)
+
+    @property
+    def n_pops(self) -> int:
+        return self.data.ndim
+
+    def marginalize(self, pops: Sequence[str | int]) -> JointSFS | Spectrum:
+        axes = [self.pop_names.index(p) if isinstance(p, str) else p for p in pops]
+        summed = self.data.sum(axis=tuple(a for a in range(self.n_pops) if a not in axes))
+        kept = sorted(axes)
+        out = np.transpose(summed, [kept.index(a) for a in axes])
+        return Spectrum(out) if len(axes) == 1 else JointSFS(out, [self.pop_names[a] for a in axes])
+
+    def fold(self) -> JointSFS:
+        count = np.indices(self.shape).sum(axis=0)
+        total = sum(s - 1 for s in self.shape)
+        out = self.data + self.data[tuple(slice(None, None, -1) for _ in self.shape)]
+        out[2 * count > total] = 0
+        out[2 * count == total] /= 2
+        return self._new(out)
+
+    def is_folded(self) -> bool:
+        return not self.data[2 * np.indices(self.shape).sum(axis=0) > sum(s - 1 for s in self.shape)].any()
+
+
+class Collection:
+    """Joint or pair spectra by type."""
+
+    def __init__(self, data: dict[str, Arithmetic] | None = None):
+        self.items = dict(data or {})
+
+    @property
+    def types(self) -> list[str]:
+        return list(self.items)
+
+    @property
+    def shape(self):
+        return next(iter(self.items.values())).shape
+
+    @property
+    def all(self):
+        if not self.items:
+            raise ValueError("no spectra")
+        first, *rest = self.items.values()
+        return sum(rest, first)
+
+    def __getitem__(self, key):
+        return self.items[key]
+
+    def __iter__(self):
+        return iter(self.items)
+
+    def __len__(self):
+        return len(self.items)
+
+    def to_dict(self):
+        return dict(self.items)
+
+    def is_empty(self) -> bool:
+        return not any(x.data.any() for x in self.items.values())
+
+
+class JointSpectra(Collection):
+    @property
+    def pop_names(self) -> list[str]:
+        return next(iter(self.items.values())).pop_names
+
+    @property
+    def n_pops(self) -> int:
+        return len(self.pop_names)
+
+    def marginalize(self, pops) -> JointSpectra | Spectra:
+        out = {t: s.marginalize(pops) for t, s in self.items.items()}
+        return Spectra(out) if len(pops) == 1 else JointSpectra(out)
+
+    @classmethod
+    def from_long(cls, rows: pd.DataFrame, ns: Sequence[int], pop_names: Sequence[str] | None = None) -> JointSpectra:
+        out = {}
+        for kind, part in rows.groupby("type", sort=True):
+            x = np.zeros([n + 1 for n in ns])
+            x[tuple(part[f"k_{p}"].to_numpy(int) for p in range(len(ns)))] = part["mass"]
+            out[kind] = JointSFS(x, pop_names)
+        return cls(out)
+
+
+class TwoSpectra(Collection):
+    @classmethod
+    def from_long(cls, rows: pd.DataFrame, n: int, types: Sequence[str] = ()) -> TwoSpectra:
+        """``types`` adds strata without any pair."""
+        out = {t: np.zeros((n + 1, n + 1)) for t in sorted({*types, *rows["type"]})}
+        for kind, part in rows.groupby("type"):
+            out[kind][part["i"].to_numpy(int), part["j"].to_numpy(int)] = part["mass"]
+        return cls({t: TwoSFS(x) for t, x in out.items()})

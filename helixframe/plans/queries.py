@@ -292,7 +292,7 @@ def two_site_cov(spark, d):
     return out(algebra.covariance(two(spark, d), 6), "i", "j", value="cov")
 
 
-@query("two_site_corr", f"{TWO_P} SELECT CAST(c.i AS BIGINT) AS i, CAST(c.j AS BIGINT) AS j, {sql_round('greatest(-1,least(1,c.cov/sqrt(a.cov*b.cov)))')} AS corr FROM cov c JOIN cov a ON a.i=c.i AND a.j=c.i JOIN cov b ON b.i=c.j AND b.j=c.j")
+@query("two_site_corr", f"{TWO_P} SELECT CAST(c.i AS BIGINT) AS i, CAST(c.j AS BIGINT) AS j, {sql_round('CASE WHEN a.cov>1e-12*a.mi*a.mj AND b.cov>1e-12*b.mi*b.mj THEN greatest(-1,least(1,c.cov/sqrt(greatest(a.cov,0)*greatest(b.cov,0)))) ELSE 0.0 END')} AS corr FROM cov c JOIN cov a ON a.i=c.i AND a.j=c.i JOIN cov b ON b.i=c.j AND b.j=c.j")
 def two_site_corr(spark, d):
     return out(algebra.correlation(two(spark, d), 6), "i", "j", value="corr")
 

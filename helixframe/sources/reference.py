@@ -45,7 +45,7 @@ def read_cds(spark: SparkSession, path: str) -> DataFrame:
         lines = lines.where(F.col("n") < end)
     f = F.split(F.substring_index("value", "#", 1), "\t")
     rows = lines.where(~F.col("value").startswith("#")).select(
-        "n", f[0].alias("seqid"), F.get(f, F.lit(2)).alias("type"), F.get(f, F.lit(3)).try_cast("bigint").alias("start"), F.get(f, F.lit(4)).try_cast("bigint").alias("end"),
+        "n", F.get(f, F.lit(0)).alias("seqid"), F.get(f, F.lit(2)).alias("type"), F.get(f, F.lit(3)).try_cast("bigint").alias("start"), F.get(f, F.lit(4)).try_cast("bigint").alias("end"),
         F.get(f, F.lit(6)).alias("strand"), F.get(f, F.lit(7)).alias("phase"), F.regexp_extract(F.get(f, F.lit(8)), r'(?:^|;)\s*(?:Parent|transcript_id)[=\s]"?([^;"]+)', 1).alias("parent"),
     ).where((F.col("type") == "CDS") & F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("strand").isNotNull() & F.col("phase").isNotNull())
     first = Window.partitionBy("seqid", "start", "end").orderBy("n")

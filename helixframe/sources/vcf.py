@@ -53,18 +53,18 @@ def read_vcf(spark: SparkSession, path: str) -> VariantSource:
                 lengths[parts["ID"]] = int(parts.get("length", 0) or 0)
     rows = lines.withColumn("site_id", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     f = F.split("value", "\t")
-    alt = F.filter(F.split(f[4], ","), lambda a: (a != ".") & (a != ""))
-    entries = F.transform(F.filter(F.split(f[7], ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit("true")).alias("value")))
-    info = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k, F.filter(entries, lambda e: e["key"] == k)[0]["value"])))
-    at = F.array_position(F.split(F.coalesce(f[8], F.lit("")), ":"), "GT")
+    alt = F.filter(F.split(F.get(f, F.lit(4)), ","), lambda a: (a != ".") & (a != ""))
+    entries = F.transform(F.filter(F.split(F.get(f, F.lit(7)), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit("true")).alias("value")))
+    info = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k, F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"])))
+    at = F.array_position(F.split(F.coalesce(F.get(f, F.lit(8)), F.lit("")), ":"), "GT")
     calls = F.transform(F.slice(f, len(FIXED) + 1, max(len(samples), 1)), lambda s: F.try_element_at(F.split(s, ":"), at.cast("int")))
 
     def codes(call: Column) -> Column:
-        return F.transform(F.split(F.coalesce(call, F.lit(".")), "[/|]"), lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int")).otherwise(-1))
+        return F.transform(F.split(F.coalesce(call, F.lit(".")), "[/|]"), lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("int")).otherwise(-1))
 
     has = (at > 0) if samples else F.lit(False)
     base = rows.select(
-        "site_id", f[0].alias("chrom"), f[1].cast("bigint").alias("pos"), f[3].alias("ref"), alt.alias("alt"),
+        "site_id", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("bigint").alias("pos"), F.get(f, F.lit(3)).alias("ref"), alt.alias("alt"),
         F.when(has, F.transform(calls, codes)).alias("gt"), F.when(has, F.transform(calls, lambda c: F.coalesce(c.contains("|"), F.lit(False)))).alias("phased"), info.alias("info"),
     )
     return VariantSource(with_classes(base), samples, lengths, header)
@@ -100,10 +100,8 @@ def write_vcf(source: VariantSource, path: str, info_headers: dict[str, str] | N
     header = [h for h in source.header if h.startswith("##")] or ["##fileformat=VCFv4.2", *(f"##contig=<ID={c},length={n}>" if n else f"##contig=<ID={c}>" for c, n in source.contig_lengths.items())]
     header += [f'##INFO=<ID={k},Number=1,Type=String,Description="{v}">' for k, v in (info_headers or {}).items()]
     header.append("#" + "\t".join(FIXED[: 9 if source.samples else 8] + source.samples))
-    gt = F.transform(
-        "gt",
-        lambda g, i: F.array_join(F.transform(F.filter(g, lambda c: c > -2), lambda c: F.when(c >= 0, c.cast("string")).otherwise(".")), F.when(F.coalesce(F.try_element_at("phased", i + 1), F.lit(False)), "|").otherwise("/")),
-    )
+    codes = F.transform("gt", lambda g: F.transform(F.filter(g, lambda c: c > -2), lambda c: F.when(c >= 0, c.cast("string")).otherwise(".")))
+    gt = F.transform(codes, lambda g, i: F.when(F.coalesce(F.try_element_at("phased", i + 1), F.lit(False)), F.array_join(g, "|")).otherwise(F.array_join(g, "/")))
     dot = F.lit(".")
     info = F.when(F.size("info") > 0, F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")).otherwise(dot)
     fields = [F.col("chrom"), F.col("pos").cast("string"), dot, F.col("ref"), F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise(dot), dot, dot, F.coalesce(info, dot)]
