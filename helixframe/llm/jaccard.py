@@ -128,16 +128,16 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame, gram: int, text: str) -> DataFrame:
-    """(sid, n, tokens) of the representative of each surviving set, tokens sorted and packed."""
+    """(sid, n, tokens) of each surviving set, read from one of its documents: its signature, size and sorted, packed shingles."""
 
     def run(batches):
         for batch, a, shingle, edges in _sets(batches, gram, 2):
             keep = np.flatnonzero(signatures(shingle, edges) == np.asarray(batch.column(1).slice(a, len(edges) - 1)))
             rows = [shingle[edges[r] : edges[r + 1]].tobytes() for r in keep.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(edges) - 1).take(pa.array(keep)), pa.array(np.diff(edges)[keep]), pa.array(rows, pa.binary())], names=["sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, len(edges) - 1).take(pa.array(keep)), pa.array(np.diff(edges)[keep]), pa.array(rows, pa.binary())], names=["sid", "n", "tokens"])
 
-    joined = docs.join(survivors.select(F.col("sid").alias("doc_id"), "sig"), "doc_id")
-    return joined.select(F.col("doc_id").alias("sid"), "sig", text).mapInArrow(run, "sid long, n long, tokens binary").dropDuplicates(["sid"])
+    joined = docs.join(survivors, "doc_id")
+    return joined.select("doc_id", "sig", text).mapInArrow(run, "sid long, n long, tokens binary").dropDuplicates(["sid"])
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -300,18 +300,19 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     """(doc_id, n_shingles, component_id) per row: set size and the smallest doc_id that links reach.
 
     Null text counts as empty. An empty set links with nothing; a row with a null doc_id has a null
-    component. Rows that share a doc_id are one node of the link graph.
+    component. Different texts under one doc_id are one node of the link graph; an empty one among them
+    keeps its own doc_id.
     """
     rows = docs.select("doc_id", F.col(text).alias("text"))
     described = materialize(describe(rows, gram, "text"), "sets")
     named = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    groups = named.groupBy("sig", "n").agg(F.min("doc_id").alias("sid"))
+    groups = named.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
     # rows of one doc_id with different texts tie their sets together
-    ties = named.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("doc_id")
-    tied = named.join(ties, "doc_id").join(groups, ["sig", "n"]).select(F.col("doc_id").alias("a"), F.col("sid").alias("b"))
+    ties = named.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("hi")).where("a <> hi").select("doc_id", "a")
+    tied = named.join(ties, "doc_id").select("a", F.col("sig").alias("b"))
     counts = shared_counts(rows.where(F.col("text").isNotNull()), gram, percent, "text")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 8)
-    survivors = groups.join(counts, "sig").where(F.col("shared") >= need).select("sid", "sig")
+    survivors = groups.join(counts, "sig").where(F.col("shared") >= need).select("doc_id", "sig")
     sets = materialize(survivor_sets(rows.where(F.col("text").isNotNull()), survivors, gram, "text"), "tokens")
     index = materialize(entries(sets, frequencies(sets), percent, rare), "entries")
     links = materialize(tied, "links")
@@ -334,7 +335,9 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     rest = left.join(right, "key").where((F.col("sid_a") < F.col("sid_b")) & (F.col("label_a") != F.col("label_b")) & never & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     rest = rest.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
     labels = components(links.unionByName(verify(rest, sets, percent)))
-    named_groups = groups.join(labels, "sid", "left").select(F.col("sig").alias("g_sig"), F.col("n").alias("g_n"), F.coalesce("label", "sid").alias("component"))
+    classed = groups.select("sig", "n", "doc_id").join(labels.select(F.col("sid").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    smallest = classed.groupBy("label").agg(F.min("doc_id").alias("component"))
+    named_groups = classed.join(smallest, "label").select(F.col("sig").alias("g_sig"), F.col("n").alias("g_n"), "component")
     out = described.join(named_groups, (F.col("sig") == F.col("g_sig")) & (F.col("n") == F.col("g_n")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
