@@ -16,10 +16,11 @@ shingles at least. A rare shingle is a key by itself. Frequent shingles are keys
 of two that fall into the same of ``classes`` classes: ``classes + 1`` shared shingles cannot all lie
 in different ones.
 
-*Verification.* Sets that share a key are gathered in blocks and compared exactly. Each set joins the
-block of its most frequent open key; keys whose sets are all linked to one another already need no
-further work. After a few rounds the pairs that share an open key and never met are verified pair
-by pair. Blocks larger than ``block`` are compared chunk against chunk in separate tasks.
+*Verification.* A key is open while its sets are not all in one component. In each round every set
+names its most frequent open key; all sets of a named key are gathered in a block and compared
+exactly, pairs of one component excepted, after which the key is done. After the rounds the pairs
+that share an open key and never met are verified pair by pair. Blocks larger than ``block`` are
+compared chunk against chunk in separate tasks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import grams, materialize, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
-from .windows import Sharing, _Held, group_edges, pack, split_by, unpack
+from .windows import Sharing, _blobs, _Held, group_edges, pack, pack_docs, split_by, unpack, unpack_docs
 
 COUNTERS = 1 << 22
 RANGES = 16
@@ -121,10 +122,18 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
 
     def count(table: pa.Table) -> pa.Table:
         sig, n = np.unique(np.concatenate(Sharing.shared(table)[0]), return_counts=True)
+        rows = [(b, pack(sig=sig[i], n=n[i].astype(np.uint32))) for b, i in split_by(sig.astype(np.uint64) % np.uint64(buckets), buckets)]
+        return pa.Table.from_batches([_blobs(rows)])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py()) for b in table.column("blob")]
+        sig, place = np.unique(np.concatenate([x["sig"] for x in parts]), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([x["n"] for x in parts]))
         return pa.table({"sig": pa.array(sig.astype(np.int64)), "shared": pa.array(n.astype(np.int64))})
 
-    sent = docs.select(text).mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(count, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+    blob = "bucket int, blob binary"
+    sent = docs.select(text).mapInArrow(send, blob)
+    return sent.groupBy("bucket").applyInArrow(count, blob).groupBy("bucket").applyInArrow(add, "sig long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame, gram: int, text: str) -> DataFrame:
@@ -193,26 +202,53 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, percent: int, rare: int) -
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int) -> DataFrame:
-    """(key, sid, n): which keys each set has."""
+def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush: int = 1 << 21) -> DataFrame:
+    """(key, sid, n) of the keys that two sets or more have. Keys are told apart by 48 bits and their bucket; a collision only adds candidates."""
     shared = sets.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers, whatever the input
+    buckets = partitions(sets.sparkSession)
 
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            keys, count = [], []
-            for tokens in batch.column(2):
-                t = np.frombuffer(tokens.as_py(), np.uint64)
-                keys.append(index_keys(t, table[t & np.uint64(COUNTERS - 1)], percent, rare))
-                count.append(len(keys[-1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.asarray(batch.column(0)), count)), pa.array(np.repeat(np.asarray(batch.column(1)), count))], names=["key", "sid", "n"])
-
-    return sets.select("sid", "n", "tokens").mapInArrow(run, "key long, sid long, n long")
+    def send(batches):
+        table, held = shared.value, _Held("key sid n")
 
+        def emit():
+            x = held.take()
+            rows = []
+            for b, i in split_by((x["key"] % np.uint64(buckets)).astype(np.int64), buckets):
+                key = x["key"][i] // np.uint64(buckets) & np.uint64((1 << 48) - 1)
+                rows.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), n=x["n"][i].astype(np.uint32), **pack_docs(x["sid"][i], np.zeros(len(i), np.int32)))))
+            return _blobs(rows)
 
-def link_block(sids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the given sets, found by comparing every two of them."""
+        for batch in batches:
+            for sid, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t = np.frombuffer(tokens.as_py(), np.uint64)
+                keys = index_keys(t, table[t & np.uint64(COUNTERS - 1)], percent, rare)
+                if len(keys):
+                    held.add(key=keys, sid=np.full(len(keys), sid, np.int64), n=np.full(len(keys), n, np.int64))
+                if held.n >= flush:
+                    yield emit()
+        if held.n:
+            yield emit()
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py()) for b in table.column("blob")]
+        key = np.concatenate([x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32) for x in parts])
+        sid, n = np.concatenate([unpack_docs(x)[0] for x in parts]), np.concatenate([x["n"] for x in parts])
+        order = np.argsort(key, kind="stable")
+        size = np.diff(np.append(group_edges(key[order]), len(key)))
+        keep = order[np.repeat(size > 1, size)]
+        full = (key[keep] * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())).astype(np.int64)
+        return pa.table({"key": pa.array(full), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int64))})
+
+    sent = sets.select("sid", "n", "tokens").mapInArrow(send, "bucket int, blob binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "key long, sid long, n long")
+
+
+def link_block(sids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what the labels keep apart: a spanning forest over every two sets of different labels."""
+    _, root, many = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.argsort(-many[root], kind="stable")  # the commonest label first: its sets need not meet each other
+    sids, root, sets = sids[order], root[order], [sets[i] for i in order.tolist()]
+    start = int((root == root[0]).sum())
     sizes = np.array([len(s) for s in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -222,9 +258,8 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     number = np.empty(len(tokens), np.int64)
     number[order] = np.repeat(np.arange(len(edge)), np.diff(bounds))
     first = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(len(sets))
     out = []
-    for i in range(len(sets)):
+    for i in range(start, len(sets)):
         mine = number[first[i] : first[i + 1]]
         lo, n = bounds[mine], bounds[mine + 1] - bounds[mine]
         lo, n = lo[n > 1], n[n > 1]
@@ -241,7 +276,7 @@ def link_block(sids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
 
 
 def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): links that connect what is connected inside each block. ``assigned``: (sid, key, size of the key)."""
+    """(a, b): links that connect what is connected inside each block. ``assigned``: (sid, key, label, size of the key)."""
     chunks = F.greatest(F.ceil(F.col("size") * 2 / block), F.lit(1)).cast("int")
     half = F.pmod(F.xxhash64("sid"), chunks).cast("int")
     parts = assigned.withColumn("chunks", chunks).withColumn("half", half)
@@ -249,11 +284,11 @@ def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: in
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("size") <= block, F.lit(0)).otherwise(F.col("chunks") - 1)))
     parts = parts.withColumn("other", other)
     whole = F.col("size") <= block
-    parts = parts.select("sid", "key", F.when(whole, 0).otherwise(F.least("half", "other")).alias("i"), F.when(whole, 0).otherwise(F.greatest("half", "other")).alias("j"))
+    parts = parts.select("sid", "key", "label", F.when(whole, 0).otherwise(F.least("half", "other")).alias("i"), F.when(whole, 0).otherwise(F.greatest("half", "other")).alias("j"))
 
     def link(table: pa.Table) -> pa.Table:
-        sids = np.asarray(table.column("sid"))
-        found = link_block(sids, [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")], percent) if len(sids) > 1 else []
+        sids, labels = np.asarray(table.column("sid")), np.asarray(table.column("label"))
+        found = link_block(sids, labels, [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")], percent) if len(sids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return parts.join(sets.select("sid", "tokens"), "sid").groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
@@ -296,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int = 16, block: int = 4096, rounds: int = 3, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int = 16, block: int = 4096, rounds: int = 2, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: set size and the smallest doc_id that links reach.
 
     Null text counts as empty. An empty set links with nothing; a row with a null doc_id has a null
@@ -317,22 +352,22 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     index = materialize(entries(sets, frequencies(sets), percent, rare), "entries")
     links = materialize(tied, "links")
     labels = components(links)
-    met = None
-    for k in range(rounds):
-        opened = open_entries(index, labels)
-        best = opened.groupBy("sid").agg(F.max(F.struct("size", "key")).alias("best"))
-        assigned = materialize(best.select("sid", F.col("best.key").alias("key"), F.col("best.size").alias("size")), "blocks")
-        links = materialize(links.unionByName(compare_blocks(assigned, sets, percent, block)), "links")
+    met, opened = None, index
+    for _ in range(rounds):
+        opened = materialize(open_entries(opened, labels), "open")
+        chosen = opened.groupBy("sid").agg(F.max(F.struct("size", "key"))["key"].alias("key")).select("key").distinct()
+        blocks = materialize(opened.join(chosen, "key", "left_semi"), "blocks")
+        links = materialize(links.unionByName(compare_blocks(blocks, sets, percent, block)), "links")
         labels = components(links)
-        mine = assigned.select("sid", F.col("key").alias(f"met{k}"))
-        met = mine if met is None else met.join(mine, "sid", "full")
-    met = materialize(met, "met")
-    opened = open_entries(index, labels).join(met, "sid", "left")
-    left, right = (opened.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "label", *(f"met{k}" for k in range(rounds))))) for side in "ab")
-    never = F.lit(True)
-    for k in range(rounds):
-        never &= ~F.coalesce(F.col(f"met{k}_a") == F.col(f"met{k}_b"), F.lit(False))
-    rest = left.join(right, "key").where((F.col("sid_a") < F.col("sid_b")) & (F.col("label_a") != F.col("label_b")) & never & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+        # the chosen keys are done: all their sets have met
+        opened = opened.join(chosen, "key", "left_anti")
+        mine = blocks.select("sid", "key")
+        met = mine if met is None else met.unionByName(mine)
+    met = materialize(met.groupBy("sid").agg(F.collect_set("key").alias("met")), "met")
+    opened = materialize(open_entries(opened, labels).join(met, "sid", "left"), "open")
+    left, right = (opened.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "label", "met"))) for side in "ab")
+    apart = ~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))
+    rest = left.join(right, "key").where((F.col("sid_a") < F.col("sid_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & apart)
     rest = rest.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
     labels = components(links.unionByName(verify(rest, sets, percent)))
     classed = groups.select("sig", "n", "doc_id").join(labels.select(F.col("sid").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -344,7 +379,7 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
 
 def open_entries(index: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, sid, n, label, size): entries of the keys whose sets are not all in one component."""
-    now = index.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    now = index.select("key", "sid", "n").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     keys = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "size")
     return now.join(keys, "key")
 
