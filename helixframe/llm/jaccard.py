@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import grams, materialize, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
+from .shared import by_batch, by_group, grams, materialize, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
 from .windows import Sharing, _blobs, _Held, group_edges, pack, pack_docs, split_by, unpack, unpack_docs
 
 COUNTERS = 1 << 22
@@ -89,7 +89,7 @@ def describe(docs: DataFrame, gram: int, text: str) -> DataFrame:
             n = len(edges) - 1
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(edges)), pa.array(signatures(shingle, edges))], names=["doc_id", "n", "sig"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n long, sig long")
+    return docs.select("doc_id", text).mapInArrow(by_batch(run), "doc_id long, n long, sig long")
 
 
 def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: int = 3_000_000) -> DataFrame:
@@ -132,8 +132,8 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
         return pa.table({"sig": pa.array(sig.astype(np.int64)), "shared": pa.array(n.astype(np.int64))})
 
     blob = "bucket int, blob binary"
-    sent = docs.select(text).mapInArrow(send, blob)
-    return sent.groupBy("bucket").applyInArrow(count, blob).groupBy("bucket").applyInArrow(add, "sig long, shared long")
+    sent = docs.select(text).mapInArrow(by_batch(send), blob)
+    return sent.groupBy("bucket").applyInArrow(by_group(count), blob).groupBy("bucket").applyInArrow(by_group(add), "sig long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame, gram: int, text: str) -> DataFrame:
@@ -146,7 +146,7 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame, gram: int, text: str) -
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, len(edges) - 1).take(pa.array(keep)), pa.array(np.diff(edges)[keep]), pa.array(rows, pa.binary())], names=["sid", "n", "tokens"])
 
     joined = docs.join(survivors, "doc_id")
-    return joined.select("doc_id", "sig", text).mapInArrow(run, "sid long, n long, tokens binary").dropDuplicates(["sid"])
+    return joined.select("doc_id", "sig", text).mapInArrow(by_batch(run), "sid long, n long, tokens binary").dropDuplicates(["sid"])
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -171,7 +171,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int32)
     step = COUNTERS // RANGES
-    for b, blob in sets.select("tokens").mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(add, "bucket int, blob binary").collect():
+    for b, blob in sets.select("tokens").mapInArrow(by_batch(count), "bucket int, blob binary").groupBy("bucket").applyInArrow(by_group(add), "bucket int, blob binary").collect():
         out[b * step : (b + 1) * step] = unpack(bytes(blob))["n"]
     return out
 
@@ -239,8 +239,8 @@ def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush:
         full = (key[keep] * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())).astype(np.int64)
         return pa.table({"key": pa.array(full), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int64))})
 
-    sent = sets.select("sid", "n", "tokens").mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "key long, sid long, n long")
+    sent = sets.select("sid", "n", "tokens").mapInArrow(by_batch(send), "bucket int, blob binary")
+    return sent.groupBy("bucket").applyInArrow(by_group(meet), "key long, sid long, n long")
 
 
 def link_block(sids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -291,7 +291,7 @@ def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: in
         found = link_block(sids, labels, [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")], percent) if len(sids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return parts.join(sets.select("sid", "tokens"), "sid").groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
+    return parts.join(sets.select("sid", "tokens"), "sid").groupBy("key", "i", "j").applyInArrow(by_group(link), "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +307,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(by_batch(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

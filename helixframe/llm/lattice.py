@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, crc_bucket, materialize, partitions, row_ranges, utf8, word_hashes
+from .shared import by_batch, by_group, LOWER, crc_bucket, materialize, partitions, row_ranges, utf8, word_hashes
 from .windows import _Held, _blobs, group_edges, pack, split_by, unpack
 
 LOG10 = np.log(10.0)
@@ -150,7 +150,7 @@ def _documents(batches):
             yield batch, a, b, hashes, np.repeat(np.arange(b - a), np.diff(first)), start, end, part, train[a:b]
 
 
-def word_table(docs: DataFrame, vocabulary: str, buckets: int, flush: int = 16 << 20) -> DataFrame:
+def word_table(docs: DataFrame, vocabulary: str, buckets: int, flush: int = 8 << 20) -> DataFrame:
     """(bucket, blob): the different words of all documents, each once, with its count in training documents.
 
     Words are told apart by 64-bit hashes; a blob holds hashes, counts and the words themselves.
@@ -205,8 +205,8 @@ def word_table(docs: DataFrame, vocabulary: str, buckets: int, flush: int = 16 <
         used = np.flatnonzero(pieces)
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "blob": pa.array([blob], pa.binary()), "tokens": pa.array([int(total.sum())]), "types": pa.array([int((total > 0).sum())]), "pieces": pa.array([pack(slot=used.astype(np.uint32), n=pieces[used])], pa.binary())})
 
-    sent = docs.select("doc_id", "text", "train").mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "bucket int, blob binary, tokens long, types long, pieces binary")
+    sent = docs.select("doc_id", "text", "train").mapInArrow(by_batch(send), "bucket int, blob binary")
+    return sent.groupBy("bucket").applyInArrow(by_group(merge), "bucket int, blob binary, tokens long, types long, pieces binary")
 
 
 def piece_probabilities(words: DataFrame, vocabulary: str, end_count: int) -> tuple[np.ndarray, float]:
@@ -222,13 +222,13 @@ def piece_probabilities(words: DataFrame, vocabulary: str, end_count: int) -> tu
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
 
     # a vector of the vocabulary's size per task, then per group of tasks, then one
-    parts = words.select("pieces").mapInArrow(add, "n binary").select(F.spark_partition_id().alias("part"), "n")
+    parts = words.select("pieces").mapInArrow(by_batch(add), "n binary").select(F.spark_partition_id().alias("part"), "n")
 
     def sum_up(table: pa.Table) -> pa.Table:
         return pa.table({"n": pa.array([sum(np.frombuffer(x.as_py()) for x in table.column("n")).tobytes()], pa.binary())})
 
     total = np.ones(size)
-    for (n,) in parts.withColumn("part", F.col("part") % 16).groupBy("part").applyInArrow(sum_up, "n binary").collect():
+    for (n,) in parts.withColumn("part", F.col("part") % 16).groupBy("part").applyInArrow(by_group(sum_up), "n binary").collect():
         total += np.frombuffer(bytes(n))
     end = end_count + 1.0
     return np.log(total / (total.sum() + end)), float(np.log(end / (total.sum() + end)))
@@ -256,7 +256,7 @@ def score_words(words: DataFrame, vocabulary: str, log_p: np.ndarray, n: int, v:
                 out.append((bucket, pack(key=x["key"], count=x["count"], score=arcs(x["count"], marginals(vocabulary_at(vocabulary), shared.value, some)))))
             yield _blobs(out)
 
-    return words.select("bucket", "blob").mapInArrow(run, "bucket int, blob binary")
+    return words.select("bucket", "blob").mapInArrow(by_batch(run), "bucket int, blob binary")
 
 
 def hot_words(scored: DataFrame, hot: int) -> np.ndarray:
@@ -270,14 +270,14 @@ def hot_words(scored: DataFrame, hot: int) -> np.ndarray:
                 top = top[x["count"][top] > 1]
                 yield pa.RecordBatch.from_arrays([pa.array(x["key"][top].astype(np.int64)), pa.array(x["count"][top]), pa.array(x["score"][top])], names=["key", "n", "score"])
 
-    rows = scored.select("blob").mapInArrow(best, "key long, n long, score double").orderBy(F.desc("n"), "key").limit(hot).toArrow()
+    rows = scored.select("blob").mapInArrow(by_batch(best), "key long, n long, score double").orderBy(F.desc("n"), "key").limit(hot).toArrow()
     out = np.zeros(rows.num_rows, [("key", "u8"), ("count", "i8"), ("score", "f8")])
     for name, column in (("key", "key"), ("count", "n"), ("score", "score")):
         out[name] = np.asarray(rows.column(column)).astype(out.dtype[name])
     return np.sort(out, order="key")
 
 
-def score_documents(docs: DataFrame, scored: DataFrame, hot: np.ndarray, buckets: int, flush: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, scored: DataFrame, hot: np.ndarray, buckets: int, flush: int = 1_000_000) -> DataFrame:
     """(rid, words, known, logs, score): of a row's words the number, those in training, the sum of log10(count + 1), the log probability."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # bounded by its length
 
@@ -341,8 +341,8 @@ def score_documents(docs: DataFrame, scored: DataFrame, hot: np.ndarray, buckets
         return pa.table({"rid": pa.array(each), **{c: pa.array(np.bincount(place, weights=np.concatenate(v), minlength=len(each))) for c, v in sums.items()}})
 
     words = scored.select("bucket", F.concat(F.lit("W").cast("binary"), "blob").alias("blob"))
-    sent = docs.select("rid", "text", F.lit(False).alias("train")).mapInArrow(send, "bucket int, blob binary")
-    found = sent.unionByName(words).groupBy("bucket").applyInArrow(answer, "rid long, words double, known double, logs double, score double")
+    sent = docs.select("rid", "text", F.lit(False).alias("train")).mapInArrow(by_batch(send), "bucket int, blob binary")
+    found = sent.unionByName(words).groupBy("bucket").applyInArrow(by_group(answer), "rid long, words double, known double, logs double, score double")
     return found.groupBy("rid").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 

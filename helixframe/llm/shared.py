@@ -7,6 +7,7 @@ per document.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -92,16 +93,46 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def cached_powers(base: int, n: int) -> np.ndarray:
-    key = (base, max(1 << max(n - 1, 1).bit_length(), 1 << 16))
-    if key not in _POWERS:
-        if len(_POWERS) > 4:
-            _POWERS.clear()
-        _POWERS[key] = powers(*key)
-    return _POWERS[key][:n]
+    """powers(base, n) from one array per base, which grows as needed."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = powers(base, max(n, 1 << 16))
+    return _POWERS[base][:n]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle worker does not hold what its last task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def by_batch(run):
+    """A mapInArrow function that trims when its task ends."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+def by_group(run):
+    """The same for applyInArrow."""
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return trimmed
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:

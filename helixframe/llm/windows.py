@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUE, INVERSE, cached_powers, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
+from .shared import by_batch, by_group, BYTE_VALUE, INVERSE, cached_powers, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
 
 POSITION_BITS = 23
 SEGMENT = 1 << 20  # elements whose arrays are in memory together
@@ -439,13 +439,13 @@ def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str =
     rows = docs.select("doc_id", salt.alias("salt"), F.col(text).alias("text"))
     blob, result, row = "bucket int, blob binary", "doc_id long, salt int, code long", ["doc_id", "salt"]
     known = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sent = known.mapInArrow(_send_minimizers(rule, buckets, flush), blob)
-    shared = sent.groupBy("bucket").applyInArrow(lambda t: _find_shared(t), result)
+    sent = known.mapInArrow(by_batch(_send_minimizers(rule, buckets, flush)), blob)
+    shared = sent.groupBy("bucket").applyInArrow(by_group(_find_shared), result)
     shared = shared.groupBy(*row).agg(F.collect_list("code").alias("places"))
     # both joins deal out the same rows by the same key: the text is shuffled once
     joined = rows.join(shared, row, "left").select(*row, F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places")
-    sent = joined.mapInArrow(_send_contents(rule, buckets, 16 * flush), blob)
-    spans = sent.groupBy("bucket").applyInArrow(_match(rule, matcher), result)
+    sent = joined.mapInArrow(by_batch(_send_contents(rule, buckets, 16 * flush)), blob)
+    spans = sent.groupBy("bucket").applyInArrow(by_group(_match(rule, matcher)), result)
     spans = spans.groupBy(*row).agg(F.collect_list("code").alias("spans"))
     if not carry:
         return rows.join(spans, row, "left").select("doc_id", "text", "spans")
