@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import crc_bucket, row_ranges, utf8
+from .shared import crc_bucket, row_ranges, trim, utf8
 
 UNDETERMINED = "und"
 
@@ -139,7 +139,12 @@ def sample_training(docs: DataFrame, docs_per_lang: int, bytes_per_lang: int) ->
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = [r[0] for r in labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang).select("doc_id").distinct().collect()]
+    # first within 16 parts of each language, so that no task ranks the rows of a large language alone
+    part = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16)).alias("part"))
+    for window in (part, order):
+        ranked = ranked.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= docs_per_lang).drop("rank")
+    ids = [r[0] for r in ranked.select("doc_id").distinct().collect()]
     if not ids:
         return {}
     chosen = labelled.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -151,9 +156,11 @@ def sample_training(docs: DataFrame, docs_per_lang: int, bytes_per_lang: int) ->
     return out
 
 
-def train(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 1 << 20, max_order: int = 3) -> PPM:
+def train(docs: DataFrame, docs_per_lang: int = 200, bytes_per_lang: int = 1 << 18, max_order: int = 3) -> PPM:
     """A model from the labelled rows of ``docs``; the bounds are those of ``sample_training``."""
-    return PPM.fit(sample_training(docs, docs_per_lang, bytes_per_lang), max_order)
+    model = PPM.fit(sample_training(docs, docs_per_lang, bytes_per_lang), max_order)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
