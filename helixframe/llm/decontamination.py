@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .shared import grams, row_ranges, utf8, word_hashes
 
 LEAKS = "doc_id long, item_id long, similarity double, window_start long, window_words long, hamming int"
-SIGNS = np.array([1], np.int32)
 
 
 def bit_votes(shingles: np.ndarray) -> np.ndarray:
@@ -90,7 +89,7 @@ class Items:
 
     def leaks(self, shingles: np.ndarray, gram: int, hits: np.ndarray):
         """(item, similarity, first word, words, distance) of the best window of each item that some window matches."""
-        where, weight = self.by_gram[gram][2], Counter()
+        where = self.by_gram[gram][2]
         places: dict[int, list[int]] = {}
         for s, at in zip(shingles[hits].tolist(), hits.tolist(), strict=True):
             for i in where[s]:

@@ -18,7 +18,7 @@ in different ones.
 
 *Verification.* A key is open while its sets are not all in one component. In each round every set
 names its most frequent open key; all sets of a named key are gathered in a block and compared
-exactly, pairs of one component excepted, after which the key is done. After the rounds the pairs
+exactly, pairs of one component excepted, after which the key is done. After ``rounds`` of these the pairs
 that share an open key and never met are verified pair by pair. Blocks larger than ``block`` are
 compared chunk against chunk in separate tasks.
 """
@@ -317,6 +317,8 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes; each round is written out, so no plan grows and lost executors cost a round.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if current.isEmpty():
+        return current.select(F.col("u").alias("sid"), F.col("v").alias("label"))
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -331,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int = 16, block: int = 4096, rounds: int = 2, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int = 16, block: int = 4096, rounds: int = 1, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: set size and the smallest doc_id that links reach.
 
     Null text counts as empty. An empty set links with nothing; a row with a null doc_id has a null
@@ -369,7 +371,9 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     apart = ~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))
     rest = left.join(right, "key").where((F.col("sid_a") < F.col("sid_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & apart)
     rest = rest.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    labels = components(links.unionByName(verify(rest, sets, percent)))
+    found = materialize(verify(rest, sets, percent), "links")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     classed = groups.select("sig", "n", "doc_id").join(labels.select(F.col("sid").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     smallest = classed.groupBy("label").agg(F.min("doc_id").alias("component"))
     named_groups = classed.join(smallest, "label").select(F.col("sig").alias("g_sig"), F.col("n").alias("g_n"), "component")

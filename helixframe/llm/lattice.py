@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import by_batch, by_group, LOWER, crc_bucket, materialize, partitions, row_ranges, utf8, word_hashes
-from .windows import _Held, _blobs, group_edges, pack, split_by, unpack
+from .windows import _blobs, _Held, pack, split_by, unpack
 
 LOG10 = np.log(10.0)
 SUMS = ("words", "known", "logs", "score")
