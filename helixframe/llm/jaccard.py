@@ -203,7 +203,7 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, percent: int, rare: int) -
 
 
 def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush: int = 1 << 21) -> DataFrame:
-    """(key, sid, n) of the keys that two sets or more have. Keys are told apart by 48 bits and their bucket; a collision only adds candidates."""
+    """(key, sid, n, size) of the keys that two sets or more have, ``size`` being how many. Keys are told apart by 48 bits and their bucket; a collision only adds candidates."""
     shared = sets.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers, whatever the input
     buckets = partitions(sets.sparkSession)
 
@@ -235,12 +235,13 @@ def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush:
         sid, n = np.concatenate([unpack_docs(x)[0] for x in parts]), np.concatenate([x["n"] for x in parts])
         order = np.argsort(key, kind="stable")
         size = np.diff(np.append(group_edges(key[order]), len(key)))
-        keep = order[np.repeat(size > 1, size)]
+        each = np.repeat(size, size)
+        keep, each = order[each > 1], each[each > 1]
         full = (key[keep] * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())).astype(np.int64)
-        return pa.table({"key": pa.array(full), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int64))})
+        return pa.table({"key": pa.array(full), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int64)), "size": pa.array(each.astype(np.int64))})
 
     sent = sets.select("sid", "n", "tokens").mapInArrow(by_batch(send), "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(by_group(meet), "key long, sid long, n long")
+    return sent.groupBy("bucket").applyInArrow(by_group(meet), "key long, sid long, n long, size long")
 
 
 def link_block(sids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -354,9 +355,10 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     index = materialize(entries(sets, frequencies(sets), percent, rare), "entries")
     links = materialize(tied, "links")
     labels = components(links)
-    met, opened = None, index
-    for _ in range(rounds):
-        opened = materialize(open_entries(opened, labels), "open")
+    met, opened = None, labelled(index, labels)  # at first every key is open
+    for k in range(rounds):
+        if k:
+            opened = materialize(open_entries(opened, labels), "open")
         chosen = opened.groupBy("sid").agg(F.max(F.struct("size", "key"))["key"].alias("key")).select("key").distinct()
         blocks = materialize(opened.join(chosen, "key", "left_semi"), "blocks")
         links = materialize(links.unionByName(compare_blocks(blocks, sets, percent, block)), "links")
@@ -381,9 +383,14 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each entry with its set's component; a set without links is its own."""
+    return index.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
 def open_entries(index: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, sid, n, label, size): entries of the keys whose sets are not all in one component."""
-    now = index.select("key", "sid", "n").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    now = labelled(index.select("key", "sid", "n"), labels)
     keys = now.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "size")
     return now.join(keys, "key")
 
