@@ -16,9 +16,9 @@ from helixframe.llm.tokens import public_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which some language is recognised: texts with a letter that its model codes in under 8 bits a byte."""
-    carried = docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    found = langid.identify(carried, langid.train(docs), text="_text")
+    """Keep documents a language model can judge: texts with a letter, when some language was learned."""
+    carried = docs.select(F.struct(*docs.columns).alias("_row"))
+    found = langid.identify(carried, langid.train(docs), text="_row", inside="text")
     return found.where("accepted").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 

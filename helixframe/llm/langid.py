@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import crc_bucket, row_ranges, trim, utf8
+from .shared import by_batch, crc_bucket, row_ranges, trim, utf8
 
 UNDETERMINED = "und"
 
@@ -42,32 +42,37 @@ class PPM:
     @classmethod
     def fit(cls, samples: dict[str, list[bytes]], max_order: int = 3) -> PPM:
         langs = sorted(samples)
-        texts = [t for name in langs for t in samples[name] if t]
-        owner = np.repeat(np.array([i for i, name in enumerate(langs) for t in samples[name] if t], np.int64), [len(t) for t in texts])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        age = np.arange(len(data)) - np.repeat(np.cumsum([0, *map(len, texts)])[:-1].astype(np.int64), [len(t) for t in texts]) if texts else np.zeros(0, np.int64)
-        seen = np.unique(data)
+        texts = [[t for t in samples[name] if t] for name in langs]
+        data = np.frombuffer(b"".join(t for own in texts for t in own), np.uint8)
+        bounds = np.cumsum([0, *(sum(map(len, own)) for own in texts)])
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))  # a language's bytes stand together
+        starts = np.cumsum([0, *(len(t) for own in texts for t in own)])[:-1]
+        # place in the text, where that is max_order or less; an earlier text's mark beyond its end is written over
+        age = np.full(len(data), max_order + 1, np.uint16)
+        for k in range(max_order, -1, -1):
+            age[starts[starts + k < len(data)] + k] = k
+        seen = np.flatnonzero(np.bincount(data, minlength=256))
         byte_class = np.zeros(256, np.int32)
         byte_class[seen] = np.arange(1, len(seen) + 1)
         n_classes, n_langs = len(seen) + 1, len(langs)
 
-        symbol = byte_class[data].astype(np.int64)
-        grams, steps, cost, escape = [symbol], [], [], []
+        # whole-sample arrays are 4 bytes an entry, wider ones live for one language at a time
+        symbol = byte_class[data]
+        gram, shorter, steps, cost, escape = symbol, None, [], [], []
         size = n_classes
-        context = np.zeros(len(data), np.int64)  # the empty context is number 1, "no context" is 0
-        context[:] = 1
+        context = np.ones(len(data), np.int32)  # the empty context is number 1, "no context" is 0
         n_contexts, below = 2, np.full((1, n_langs), 8.0)  # below: cost without any context
         for order in range(max_order + 1):
-            gram = grams[order]
-            live = age >= order
             count = np.zeros((size, n_langs))
-            np.add.at(count, (gram[live], owner[live]), 1)
+            parent = np.zeros(size, np.int32)
+            suffix = np.zeros(size, np.int32)
+            for i, (lo, hi) in enumerate(spans):
+                live = np.flatnonzero(age[lo:hi] >= order) + lo
+                count[:, i] = np.bincount(gram[live], minlength=size)
+                parent[gram[live]] = context[live]
+                if order:
+                    suffix[gram[live]] = shorter[live]
             count[0] = 0
-            parent = np.zeros(size, np.int64)
-            parent[gram[live]] = context[live]
-            suffix = np.zeros(size, np.int64)
-            if order:
-                suffix[gram[live]] = grams[order - 1][live]
             total = np.zeros((n_contexts, n_langs))
             kinds = np.zeros((n_contexts, n_langs))
             np.add.at(total, parent, count)
@@ -84,18 +89,21 @@ class PPM:
             if order == max_order:
                 break
             # number the grams that are one byte longer
-            longer = np.zeros(len(data), np.int64)
-            at = np.flatnonzero(age >= order + 1)
-            pair = gram[at - 1] * n_classes + symbol[at]
-            kinds_of, number = np.unique(pair, return_inverse=True)
-            longer[at] = number + 1
             step = np.zeros(size * n_classes, np.int32)
+            for lo, hi in spans:
+                at = np.flatnonzero(age[lo:hi] > order) + lo
+                step[gram[at - 1].astype(np.int64) * n_classes + symbol[at]] = 1
+            kinds_of = np.flatnonzero(step)
             step[kinds_of] = np.arange(1, len(kinds_of) + 1)
             steps.append(step)
-            context = np.zeros(len(data), np.int64)
-            context[at] = gram[at - 1]
+            longer = np.zeros(len(data), np.int32)
+            context = np.zeros(len(data), np.int32)
+            for lo, hi in spans:
+                at = np.flatnonzero(age[lo:hi] > order) + lo
+                longer[at] = step[gram[at - 1].astype(np.int64) * n_classes + symbol[at]]
+                context[at] = gram[at - 1]
             n_contexts, size = size, len(kinds_of) + 1
-            grams.append(longer)
+            gram, shorter = longer, gram
         return cls(langs, byte_class, n_classes, steps, cost, escape)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -156,20 +164,22 @@ def sample_training(docs: DataFrame, docs_per_lang: int, bytes_per_lang: int) ->
     return out
 
 
-def train(docs: DataFrame, docs_per_lang: int = 200, bytes_per_lang: int = 1 << 18, max_order: int = 3) -> PPM:
+def train(docs: DataFrame, docs_per_lang: int = 300, bytes_per_lang: int = 1 << 20, max_order: int = 3) -> PPM:
     """A model from the labelled rows of ``docs``; the bounds are those of ``sample_training``."""
     model = PPM.fit(sample_training(docs, docs_per_lang, bytes_per_lang), max_order)
     trim()
     return model
 
 
-def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: PPM, text: str = "text", inside: str | None = None) -> DataFrame:
     """Add ``lang_pred``, ``score``, ``bits_per_byte`` and ``accepted`` to ``docs``.
 
     score is the posterior of the winning language under equal priors. A null, empty or letterless
-    text, or any text when the model knows no language, gets ``und``, score 0 and is not accepted;
-    neither is a text whose shortest code exceeds the 8 bits a byte of plain storage. Ties go to the
-    language that sorts first. Existing columns of these four names are replaced.
+    text, or any text when the model knows no language, gets ``und``, score 0 and is not accepted; every
+    other text is. The rate decides nothing: capitals, digits and signs that the sample hardly holds cost
+    more than 8 bits each, so a bound on it would drop short, capitalised and numeric texts of known
+    languages. Ties go to the language that sorts first. Existing columns of these four names are replaced.
+    With ``inside``, the text is that field of the struct column ``text``.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the training bytes
@@ -181,10 +191,12 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
         ppm = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
+            if inside is not None:
+                column = column.field(inside)
             letters = np.asarray(pc.match_substring_regex(column, r"\p{L}").fill_null(False)) if len(column) else np.zeros(0, bool)
             data, offsets = utf8(column)
             bits = np.zeros((len(column), len(ppm.langs)))
-            for a, b in row_ranges(offsets, 1 << 20):
+            for a, b in row_ranges(offsets, 1 << 18):  # arrays of some 100 bytes a byte of text
                 lo, hi = offsets[a], offsets[b]
                 bits[a:b] = ppm.code_lengths(data[lo:hi], offsets[a : b + 1] - lo)
             size = np.maximum(np.diff(offsets), 1)
@@ -196,11 +208,10 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
             else:
                 letters[:] = False
                 least, score, lang = np.zeros(len(column)), np.zeros(len(column)), np.full(len(column), None, object)
-            rate = least / size
-            added = [pa.array(np.where(letters, lang, UNDETERMINED), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(rate), pa.array(letters & (rate < 8))]
+            added = [pa.array(np.where(letters, lang, UNDETERMINED), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(least / size), pa.array(letters)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*keep, "lang_pred", "score", "bits_per_byte", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(by_batch(run), schema)
 
 
 def op1_language_id(docs: DataFrame) -> DataFrame:

@@ -152,6 +152,21 @@ def test_held_out_accuracy(spark):
     assert got.where("lang_pred = lang").count() >= 0.97 * got.count()
 
 
+def test_rare_bytes_and_short_texts_are_accepted(spark):
+    import corpus_pipeline
+
+    learned = [(k, t, lang) for k, (t, lang) in enumerate([("der hund und die katze sind im haus", "de"), ("the dog and the cat are in the house", "en")] * 20)]
+    odd = ["DIE KATZE IST IM HAUS", "Q7-4711 0815 99 x", "OK", "GPU", "N/A", "mail@host.example:8080", "ÄÖÜ"]
+    rows = [*learned, *((100 + k, t, "de") for k, t in enumerate(odd)), (200, "12 34 !", "de"), (201, None, "de")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.PPM.fit({lang: [t.encode() for _, t, other in learned if other == lang] for lang in ("de", "en")})
+    got = {r["doc_id"]: r for r in langid.identify(made, model).collect()}
+    assert all(got[100 + k]["bits_per_byte"] > 8 and got[100 + k]["accepted"] for k in range(len(odd)))
+    assert not got[200]["accepted"] and not got[201]["accepted"]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, made, "").collect()}
+    assert kept == {r[0] for r in rows} - {200, 201}
+
+
 # ---- repeats
 
 
