@@ -63,6 +63,11 @@ def site_keys(sites: DataFrame, masks: Sequence[Sequence[int] | None], ns: Seque
     return both.select("type", "chrom", "pos", "site_id", *(F.col(f"_k.{x}").alias(x) for x in [*names, "w"])).where("w > 0")
 
 
+def drawn(keys: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Keys of ``n`` haplotypes: each site's derived count is one draw, the same that a random ``spectrum_1d`` makes."""
+    return keys.withColumn("der_0", h.draw(F.col("m_0"), F.col("der_0"), n, "chrom", "pos", "der_0", seed=seed)).withColumn("m_0", F.lit(n))
+
+
 def spectrum_1d(keys: DataFrame, n: int, mode: str = "probabilistic", seed: int = 0) -> DataFrame:
     """(type, bin, mass) over keys (type, m_0, der_0, w). ``random`` draws each site once."""
     if mode == "random":

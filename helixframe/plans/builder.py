@@ -98,18 +98,36 @@ class SpectrumQuery:
     def frame(self) -> DataFrame:
         """The result as a long frame."""
         if self.two_sfs:
-            return project.two_site(self.keys(), self.ns[0], self.d, self.two_sfs_offset)
+            return self._pairs()
         if self.pops is None:
             out = project.spectrum_1d(self.keys(), self.ns[0], self.subsample_mode, self.seed)
             return out if self.n_target_sites is None else algebra.target_sites_1d(out, self.opportunities, self.ns[0], self.n_target_sites)
         out = project.spectrum_joint(self.keys(), self.ns, self.subsample_mode, self.seed)
         return out if self.n_target_sites is None else algebra.target_sites_joint(out, self.opportunities, len(self.ns), self.n_target_sites)
 
+    def _pairs(self) -> DataFrame:
+        """The pair spectrum; with target sites, the pairs of sites the input does not show are added to its border."""
+        if self.n_target_sites is not None and self.strata:
+            raise NotImplementedError("target sites need an unstratified pair spectrum")
+        n, keys = self.ns[0], self.keys()
+        if self.subsample_mode == "random":
+            keys = project.drawn(keys, n, self.seed)
+        two = project.two_site(keys, n, self.d, self.two_sfs_offset)
+        if self.n_target_sites is None:
+            return two
+        marginal = project.spectrum_1d(keys, n)
+        spans = contig_spans(self.source, keys)
+        observed = marginal.agg(F.sum("mass")).first()[0] or 0.0
+        region = spans.agg(F.sum("span")).first()[0] or 0
+        if observed >= self.n_target_sites or region <= 0:
+            log.warning("no more target sites than sites seen, or no extent: the pair spectrum stays as it is")
+            return two
+        factor = algebra.window_factor(spans, self.d).first()[0]
+        return algebra.extrapolate_two(two, marginal, self.n_target_sites, observed, float(region), self.d, factor)
+
     def run(self) -> Spectra | JointSpectra | TwoSpectra:
         """Collect the spectra: bins and types, never sites."""
         if self.two_sfs:
-            if self.n_target_sites is not None and self.strata:
-                raise NotImplementedError("target sites need an unstratified pair spectrum")
             types = [r[0] for r in self.keys().select("type").distinct().collect()]
             return TwoSpectra.from_long(self.frame().toPandas(), self.ns[0], types)
         rows = self.frame().toPandas()
@@ -121,10 +139,10 @@ class SpectrumQuery:
         return out
 
 
-def contig_spans(source: VariantSource) -> DataFrame:
-    """(chrom, low, high, span): the declared length, else the observed extent."""
+def contig_spans(source: VariantSource, sites: DataFrame | None = None) -> DataFrame:
+    """(chrom, low, high, span): the declared length, else the extent of ``sites``, which are all of the source by default."""
     spark = source.sites.sparkSession
-    seen = source.sites.groupBy("chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    seen = (source.sites if sites is None else sites).groupBy("chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     declared = spark.createDataFrame([(c, n) for c, n in source.contig_lengths.items() if n > 0], "chrom string, length bigint")
     return seen.join(declared, "chrom", "left").select("chrom", "low", "high", F.coalesce("length", F.col("high") - F.col("low")).alias("span"))
 

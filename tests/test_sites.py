@@ -84,6 +84,42 @@ def test_pairs_match_brute_force_and_window_form(spark, d, offset):
     assert np.allclose(dense, got.all.data)
 
 
+def test_pairs_with_target_sites_and_random_draws(spark):
+    rows = random_sites(5, 120)
+    extents = {c: [r["pos"] for r in rows if r["chrom"] == c] for c in "12"}
+    for lengths in ({}, {"1": 40_000, "2": 5_000, "9": 10**6}):
+        plain = SpectrumQuery(source(spark, rows, lengths), 3, filters=[], skip_non_polarized=False, two_sfs=True, d=100)
+        seen = plain.keys().toPandas().groupby("chrom")["pos"].agg(["min", "max"])
+        span = {c: lengths.get(c, int(seen.loc[c, "max"] - seen.loc[c, "min"])) for c in extents}
+        marginal = SpectrumQuery(plain.source, 3, filters=[], skip_non_polarized=False).run().all.data
+        missing, region = 50_000 - marginal.sum(), sum(span.values())
+        per_site = missing / region * 100 * sum((1 - 100 / (2 * x) if x >= 100 else x / 200) * x for x in span.values()) / region
+        want = np.array(naive.pairs(rows, 3, 100, 0))
+        want[0] += marginal * per_site
+        want[:, 0] += marginal * per_site
+        want[0, 0] += missing * per_site
+        got = SpectrumQuery(plain.source, 3, filters=[], skip_non_polarized=False, two_sfs=True, d=100, n_target_sites=50_000).run()
+        assert np.allclose(got.all.data, want)
+    few = SpectrumQuery(plain.source, 3, filters=[], skip_non_polarized=False, two_sfs=True, d=100, n_target_sites=1).run()
+    assert np.allclose(few.all.data, naive.pairs(rows, 3, 100, 0))
+    with pytest.raises(NotImplementedError):
+        SpectrumQuery(plain.source, 3, filters=[], strata=[strata.Contig()], two_sfs=True, n_target_sites=9).frame()
+
+    # each site is one draw: whole counts of pairs, of the same sites as the random spectrum
+    drawn = SpectrumQuery(plain.source, 3, filters=[], skip_non_polarized=False, two_sfs=True, d=100, subsample_mode="random", seed=4)
+    keys = project.drawn(plain.keys(), 3, 4).toPandas()
+    want = np.zeros((4, 4))
+    for c, part in keys.groupby("chrom"):
+        for p, i in zip(part["pos"], part["der_0"], strict=True):
+            for q, j in zip(part["pos"], part["der_0"], strict=True):
+                if 0 < q - p <= 100:
+                    want[i, j] += 0.5
+                    want[j, i] += 0.5
+    assert np.allclose(drawn.run().all.data, want) and not np.allclose(want, naive.pairs(rows, 3, 100, 0))
+    alone = SpectrumQuery(plain.source, 3, filters=[], skip_non_polarized=False, subsample_mode="random", seed=4).run().all.data
+    assert np.allclose(np.bincount(keys["der_0"], minlength=4), alone)
+
+
 def test_monomorphic_and_other_sites(spark):
     base = random_sites(6, 1)[0]
     mono = base | {"alt": [], "gt": [[0, 0]] * 4 + [[0]], "is_snp": False}
