@@ -139,14 +139,15 @@ class PPM:
 
 
 def sample_training(docs: DataFrame, docs_per_lang: int, bytes_per_lang: int) -> dict[str, list[bytes]]:
-    """At most ``docs_per_lang`` whole labelled texts a language, and no further one after ``bytes_per_lang`` bytes.
+    """At most ``docs_per_lang`` labelled texts with a letter, and at most ``bytes_per_lang`` bytes, a language.
 
-    The choice is by a hash of doc_id over all labelled rows. The ranking reads two columns only and
-    keeps ``docs_per_lang`` rows of each map task (a group limit below the exchange); the chosen
-    texts, bounded by both parameters, are what the driver gets.
+    The choice is by a hash of doc_id over all labelled rows whose text has a letter. A text counts with
+    its first sixteenth of ``bytes_per_lang``, so that a long one leaves room for others. The ranking
+    keeps ``docs_per_lang`` rows of each map task (a group limit below the exchange) and moves no text;
+    the driver gets the chosen parts, bounded by both parameters.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # first within 16 parts of each language, so that no task ranks the rows of a large language alone
     part = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16)).alias("part"))
@@ -155,12 +156,13 @@ def sample_training(docs: DataFrame, docs_per_lang: int, bytes_per_lang: int) ->
     ids = [r[0] for r in ranked.select("doc_id").distinct().collect()]
     if not ids:
         return {}
-    chosen = labelled.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    head = F.substring(F.col("text").cast("binary"), 1, max(bytes_per_lang // 16, 1))
+    chosen = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", head.alias("head"))
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
-    used = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    used = F.sum(F.octet_length("head").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     out: dict[str, list[bytes]] = {}
-    for lang, text in chosen.withColumn("used", F.coalesce(used, F.lit(0))).where(F.col("used") < bytes_per_lang).orderBy("lang", "rank").select("lang", "text").collect():
-        out.setdefault(lang, []).append(text.encode())
+    for lang, head, used in chosen.withColumn("used", F.coalesce(used, F.lit(0))).where(F.col("used") < bytes_per_lang).orderBy("lang", "rank").select("lang", "head", "used").collect():
+        out.setdefault(lang, []).append(bytes(head[: bytes_per_lang - used]))
     return out
 
 

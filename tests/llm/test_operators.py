@@ -167,6 +167,17 @@ def test_rare_bytes_and_short_texts_are_accepted(spark):
     assert kept == {r[0] for r in rows} - {200, 201}
 
 
+def test_training_rows_have_letters_and_long_texts_leave_room(spark):
+    texts = [None, "", "12 34"] * 30 + ["wort %s" % ("x" * k) for k in range(6)]
+    rows = [(k, t, "de") for k, t in enumerate(texts)] + [(1000 + k, "é" * 5000 + str(k), "fr") for k in range(20)] + [(2000, None, "es")]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.sample_training(made, 6, 1 << 20)
+    assert sorted(got) == ["de", "fr"] and sorted(got["de"]) == sorted(t.encode() for t in texts[90:]) and len(got["fr"]) == 6
+    cut = langid.sample_training(made, 300, 4096)["fr"]
+    assert len(cut) == 16 and sum(map(len, cut)) == 4096
+    assert sum(map(len, langid.sample_training(made, 300, 100)["fr"])) == 100
+
+
 # ---- repeats
 
 
