@@ -23,13 +23,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate class the document of the smallest doc_id; rows without one are kept."""
-    classes = jaccard.near_duplicates(docs)
-    lost = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(lost, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    return once.select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Keep of each near-duplicate class the text of the smallest doc_id; rows without one are kept.
+
+    Different texts under one doc_id are judged each by itself, so that only linked or equal ones go. Of
+    linked texts under the smallest doc_id the one of the smallest hash stays, and of rows equal in doc_id
+    and text the first as JSON; null text is empty.
+    """
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        classes = jaccard.near_duplicates(docs)
+        lost = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+        return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    # texts under a repeated doc_id go by a hash of both
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row")).join(repeated.withColumn("_again", F.lit(True)), "doc_id", "left")
+    key = F.when(F.col("_again"), F.xxhash64("doc_id", F.coalesce("_row.text", F.lit("")))).otherwise(F.col("doc_id"))
+    keyed = materialize(rows.select(key.alias("doc_id"), "_again", "_row"), "keyed")
+    classes = materialize(jaccard.near_duplicates(keyed.select("doc_id", F.col("_row.text").alias("text"))), "classes")
+    given = keyed.where("_again").select("doc_id", F.col("_row.doc_id").alias("given")).distinct()
+    named = classes.where("doc_id is not null").join(given, "doc_id", "left")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.coalesce("given", "doc_id").alias("given"), "doc_id"))["doc_id"].alias("doc_id")).select("doc_id")
+    kept = keyed.join(first, "doc_id", "left_semi")
+    once = keyed.where("doc_id is null").unionByName(kept.where("_again is null")).select("_row")
+    more = kept.where("_again").groupBy("doc_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    return once.unionByName(more).select("_row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

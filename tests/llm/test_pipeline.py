@@ -47,3 +47,18 @@ def test_stages_take_odd_rows_and_clashing_columns(spark, docs, none):
             assert current.columns == table.columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, current, "").count() >= current.count()
     assert public_path("word_bpe_49k.json")
+
+
+def test_texts_under_one_doc_id_are_judged_apart(spark):
+    import random
+
+    import corpus_pipeline
+    from conftest import frame, prose
+
+    p, q, r, s, t = (" ".join(prose(random.Random(k), 60)) for k in range(5))
+    rows = [(1, p), (1, q), (2, q + " end"), (3, p), (4, t), (4, t), (0, r), (5, r), (5, s), (None, p), (6, None), (6, "")]
+    made = frame(spark, rows)
+    got = corpus_pipeline.near_duplicates(spark, made.repartition(3), "")
+    assert got.columns == made.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted([(1, p), (1, q), (4, t), (0, r), (5, s), (None, p), (6, got.where("doc_id = 6").first()["text"])], key=str)
+    assert got.where("doc_id = 4").first() == min((x for x in made.where("doc_id = 4").collect()), key=lambda x: x["lang"] or "~")
