@@ -133,4 +133,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
 
 
 def op2_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Pack ``docs`` into sequences of 4096 tokens, one row per piece.
+
+    Null and empty texts are one piece of their end id. A null doc_id is packed like any other,
+    repeated rows as often as they occur; no documents give no piece. Columns other than doc_id and
+    text are ignored.
+    """
     return pack(docs, tokenizer)

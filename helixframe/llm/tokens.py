@@ -3,7 +3,8 @@
 A corpus repeats its words far more often than it invents new ones, and the tokenizers split a text
 into independent words before they merge. ``WordTokenizer`` sends each new word through the library
 (normalizer, pre-tokenizer, model) and remembers the ids; a text whose white space could bind its
-words differently goes through the library whole. The result equals ``Tokenizer.encode`` id by id.
+words differently, or that holds the string of an added token, goes through the library whole. The
+result equals ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` id by id.
 """
 
 from __future__ import annotations
@@ -47,9 +48,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.normalizer, self.splitter, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.pattern = _pattern(path)
+        # strings of added tokens are found before any word is cut; normalized ones in any case or form
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.loose = [self.normalizer.normalize_str(t.content) if self.normalizer else t.content for t in added if t.normalized]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.remember = remember
@@ -117,6 +121,8 @@ class WordTokenizer:
         """The ids of ``text`` without special tokens, packed as ``self.type``; null reads as empty."""
         if not text:
             return b""
+        if any(t in text for t in self.added) or self.loose and any(t in (self.normalizer.normalize_str(text) if self.normalizer else text) for t in self.loose):
+            return self._pack(self._library(text))
         if not self.keeps_space:
             words, kind, tail = (text.lower() if self.lowers and text.isascii() else text).replace("\n", " ").split(" "), 0, []
         elif self._regular(text):

@@ -23,19 +23,40 @@ def collected(df, *columns):
 # ---- tokens
 
 
+def library(name):
+    """A fresh tokenizer, untouched by the code under test."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_path(name))
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_word_cache_equals_the_library(name, rows):
-    t = WordTokenizer(public_path(name), remember=50)
-    hard = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "\n", "a\tb", "x\r\ny", "İstanbul ΣΑΣ Σ", "é ́x", "a b c", "a\x1cb c", "<|endoftext|> a", "don't  'S we'LL", "ﬁne Ǆ 漢字 12 3!!"]
+    t, fresh = WordTokenizer(public_path(name), remember=50), library(name)
+    hard = ["", "a", " a", "a ", "a  b", "a\n\nb", "a \n b", "\n", "a\tb", "x\r\ny", "İstanbul ΣΑΣ Σ", "é ́x", "a b c", "a\x1cb c", "<|endoftext|> a", "don't  'S we'LL", "ﬁne Ǆ 漢字 12 3!!"]
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "a", "The", " ", " ", "\n", "İ", "é", "x-1", "<", "|>"]
+    hard += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
     for text in hard + [t for _, t in rows if t]:
-        assert np.frombuffer(t.encode(text), t.type).tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text[:40]
+        assert np.frombuffer(t.encode(text), t.type).tolist() == fresh.encode(text, add_special_tokens=False).ids, text[:40]
+
+
+SPECIAL = [(9001, "one <|endoftext|> two"), (9002, "<|startoftext|>x<|endoftext|>"), (9003, "<|endoftext|>")]
 
 
 def truth(rows, name):
-    t = WordTokenizer(public_path(name)).tokenizer
+    t = library(name)
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")) for i, x in rows]
 
 
+def test_texts_that_hold_special_tokens(spark):
+    made = frame(spark, SPECIAL)
+    want = sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in truth(SPECIAL, BYTE))
+    assert collected(tokenfile.op5_token_file(made, public_path(BYTE)), "doc_id", "n_tokens", "ids_crc32") == want
+    want = sorted((i, len(x), zlib.crc32(x.tobytes())) for i, x in truth(SPECIAL, WORD))
+    assert collected(packing.op2_packing(made, public_path(WORD)), "doc_id", "doc_tokens", "ids_crc32") == want
+
+
 def test_token_file_round_trip(spark, docs, rows, none, tmp_path):
     want, at = [], 0
     for i, ids in sorted(truth(rows, BYTE), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -50,20 +71,32 @@ def test_token_file_round_trip(spark, docs, rows, none, tmp_path):
     assert tokenfile.op5_token_file(none, public_path(BYTE)).collect() == []
 
 
-def test_token_file_random_access(spark, docs, rows, tmp_path):
+def test_token_file_random_access(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(k, " ".join(prose(rng, rng.choice([0, 1, 7, 60, 900])))) for k in range(60)]
     folder = f"file://{tmp_path}/t"
-    shards = tokenfile.write_tokens(docs, public_path(BYTE), folder, length=64, shards=2)
-    total = {i: 0 for i, _ in rows}
-    stream = []
+    shards = tokenfile.write_tokens(frame(spark, rows), public_path(BYTE), folder, length=64, rows=3, shards=2)
+    want, base = np.concatenate([x for _, x in truth(rows, BYTE)]), 0
+    assert len(shards) == 2 and sum(n for _, n, _ in shards) == len(rows)
     for name, _, ids in shards:
         f = tokenfile.TokenFile(folder, name)
-        seqs = [(f.sequence(k), f.mask(k)) for k in range(len(f))]
-        assert all(len(s) == 64 for s, _ in seqs) and not seqs[0][0].flags.owndata
-        flat, mask = np.concatenate([s for s, _ in seqs]), np.concatenate([m for _, m in seqs])
-        assert mask[:ids].all() and not mask[ids:].any()
-        stream.append(flat[:ids])
-    want = np.concatenate([x for _, x in sorted(truth(rows, BYTE), key=lambda x: (x[0] is not None, x[0] or 0))])
-    assert Counter(np.concatenate(stream).tolist()) == Counter(want.tolist()) and len(total)
+        assert f.reader.num_record_batches > 20 and len(f) == -(-ids // 64)  # documents longer than a batch among them
+        for k in rng.sample(range(len(f)), len(f)):
+            part = want[base + 64 * k : min(base + 64 * (k + 1), base + ids)]
+            assert f.sequence(k)[: len(part)].tolist() == part.tolist() and not f.sequence(k).flags.owndata
+            assert f.mask(k).tolist() == [j < len(part) for j in range(64)]
+        with pytest.raises(IndexError):
+            f.sequence(len(f))
+        base += ids
+    assert base == len(want)
+
+
+def test_a_failed_shard_leaves_nothing(tmp_path):
+    store, root = tokenfile.open_folder(f"file://{tmp_path}/x")
+    shard = tokenfile._Shard(store, root, "shard-0", np.dtype("<u2"), 8, 2)
+    shard.add(1, np.arange(100, dtype="<u2"))
+    shard.drop()
+    assert list((tmp_path / "x").iterdir()) == []
 
 
 def test_packing_covers_every_token_once(docs, rows, none):
