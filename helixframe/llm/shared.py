@@ -38,6 +38,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_buckets(docs: DataFrame, text: str, size: int = 16 << 20) -> int:
+    """How many buckets hold ``size`` bytes of text each; one a shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // size))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

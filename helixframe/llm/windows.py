@@ -9,9 +9,10 @@ meet. The work is done in two rounds over buckets of minimizers:
 2. *matching*: runs with a shared minimizer send their elements; a bucket's matcher (a blockwise
    suffix array, or relative Lempel-Ziv parsing) says which windows occur in a smaller document.
 
-Each map task first resolves what it can see itself: of equal runs it sends the earliest document's
-only, so a passage that fills a third of the corpus travels once per flush and not once per copy.
-Buckets are compressed arrays, not rows. Nothing is collected, and no candidate is ever dropped.
+Each map task first resolves what it can see itself: of runs with equal bytes it sends the earliest
+document's only, so a passage that fills a third of the corpus travels once per flush and not once
+per copy. Buckets are compressed arrays, not rows; their number follows from the bytes of text, so that
+a bucket stays as large whatever the corpus. Nothing is collected, and no candidate is ever dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, by_group, BYTE_VALUE, INVERSE, cached_powers, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
+from .shared import BYTE_VALUE, INVERSE, by_batch, by_group, cached_powers, mix, prefix_sums, row_ranges, text_buckets, utf8, word_hashes
 
 POSITION_BITS = 23
 SEGMENT = 1 << 20  # elements whose arrays are in memory together
@@ -60,12 +61,13 @@ class Elements:
         return cls(data, hashes, first, start, end)
 
     def contents(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The bytes of elements ``a`` to ``b`` of each pair."""
+        """The bytes of elements ``a`` to ``b`` of each pair, words with one space between them: equal elements, equal bytes."""
         if self.raw is None:
             self.raw = self.data.tobytes()
         raw = self.raw
-        lo, hi = (a, b) if self.start is None else (self.start[a], self.end[b - 1])
-        return [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+        if self.start is None:
+            return [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return [b" ".join(raw[x:y].split()) for x, y in zip(self.start[a].tolist(), self.end[b - 1].tolist(), strict=True)]
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +80,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(elements: Elements, rule: Rule, with_place: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per segment: minimizer hash, first window, number of windows and content hash of each run, and its row."""
+    """Per segment: minimizer hash, first window and number of windows of each run, and its row."""
     values, first = elements.values, elements.first
     n, size, gram = len(values), rule.size, rule.gram
     lo = 0
@@ -103,7 +105,7 @@ def runs(elements: Elements, rule: Rule, with_place: bool = False) -> Iterator[t
             new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(at) != 1)]))
             begin = at[new]
             count = np.diff(np.append(new, len(at)))
-            out = grams[place[new]], begin + lo, count, range_hash(sums, begin, begin + count + size - 1), np.searchsorted(first, begin + lo, side="right") - 1
+            out = grams[place[new]], begin + lo, count, np.searchsorted(first, begin + lo, side="right") - 1
             yield (*out, place[new] + lo) if with_place else out
         lo += SEGMENT
 
@@ -112,7 +114,7 @@ def minimizers(elements: Elements, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the minimizer of each row that is one run; rows longer than a run have their first."""
     first = elements.first
     key, place = np.zeros(len(first) - 1, np.uint64), np.zeros(len(first) - 1, np.int64)
-    for grams, begin, _, _, row, at in runs(elements, rule, with_place=True):
+    for grams, begin, _, row, at in runs(elements, rule, with_place=True):
         here, new = np.unique(row, return_index=True)
         fresh = first[here] == begin[new]
         key[here[fresh]], place[here[fresh]] = grams[new[fresh]], at[new[fresh]] - first[here[fresh]]
@@ -230,8 +232,8 @@ class Sharing:
         self.buckets = buckets
 
     def _short(self, key: np.ndarray) -> np.ndarray:
-        """What of a key its bucket does not tell, cut to 48 bits; a chance collision only adds an entry."""
-        return key // np.uint64(self.buckets) & np.uint64((1 << 48) - 1)
+        """32 bits of a key besides its bucket: a bucket has about a million keys, and a chance collision only adds an entry."""
+        return (key // np.uint64(self.buckets)).astype(np.uint32)
 
     def emit(self, x: dict[str, np.ndarray]) -> pa.RecordBatch:
         n, none = self.buckets, np.empty(0, np.int64)
@@ -251,8 +253,7 @@ class Sharing:
         out = []
         for b, s in sent.items():
             i, j = s.get("open", none), s.get("done", none)
-            key = self._short(x["key"][i])
-            out.append((b, pack(low=key.astype(np.uint32), high=(key >> np.uint64(32)).astype(np.uint16), at=x["at"][i].astype(np.uint32), flag=s.get("flag", none.astype(np.uint64)), done_at=x["at"][j].astype(np.uint32), **pack_docs(x["doc"][i], x["salt"][i]), **pack_docs(x["doc"][j], x["salt"][j], "done_"))))
+            out.append((b, pack(key=self._short(x["key"][i]), at=x["at"][i].astype(np.uint32), flag=s.get("flag", none.astype(np.uint32)), done_at=x["at"][j].astype(np.uint32), **pack_docs(x["doc"][i], x["salt"][i]), **pack_docs(x["doc"][j], x["salt"][j], "done_"))))
         return _blobs(out)
 
     @staticmethod
@@ -261,7 +262,7 @@ class Sharing:
         key, at, doc, salt, flag, out_doc, out_salt, out_at = [], [], [], [], [], [], [], []
         for blob in table.column("blob"):
             x = unpack(blob.as_py())
-            key.append(x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32))
+            key.append(x["key"])
             at.append(x["at"])
             flag.append(x["flag"])
             out_at.append(x["done_at"])
@@ -287,7 +288,7 @@ def _send_minimizers(rule: Rule, buckets: int, flush: int):
         held = _Held(sharing.names)
         for batch in batches:
             for elements, doc, salt, _ in _rows(batch, rule):
-                for key, begin, _, _, row in runs(elements, rule):
+                for key, begin, _, row in runs(elements, rule):
                     held.add(key=key, at=begin - elements.first[row], doc=doc[row], salt=salt[row])
                 if held.n >= flush:
                     yield sharing.emit(held.take())
@@ -306,16 +307,14 @@ def _find_shared(table: pa.Table) -> pa.Table:
 
 def _send_contents(rule: Rule, buckets: int, flush: int):
     def run(batches):
-        held, contents = _Held("key begin count content doc salt"), []
+        held, known = _Held("key begin count content doc salt"), {}
 
         def emit():
-            x = held.take()
-            # of equal runs the smallest document's stay; in any other document they are repeats
-            order = np.lexsort((x["doc"], x["content"]))
-            edge = group_edges(x["content"][order])
-            size = np.diff(np.append(edge, len(order)))
-            least = np.empty(len(order), np.int64)
-            least[order] = np.repeat(x["doc"][order][edge], size)
+            x, distinct = held.take(), list(known)
+            # of runs with equal bytes the smallest document's stay; in any other document they are repeats
+            least = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(least, x["content"], x["doc"])
+            least = least[x["content"]]
             again = np.flatnonzero(x["doc"] > least)
             stay = np.flatnonzero(x["doc"] == least)
             none = np.empty(0, np.int64)
@@ -327,11 +326,11 @@ def _send_contents(rule: Rule, buckets: int, flush: int):
             out = []
             for b, s in sent.items():
                 i, j = s.get("open", none), s.get("done", none)
-                texts = [contents[k] for k in i.tolist()]
+                texts = [distinct[k] for k in x["content"][i].tolist()]
                 length = np.fromiter(map(len, texts), np.uint32, len(texts))
                 code = x["begin"][j] << CODE | (x["count"][j] + rule.size - 1)
                 out.append((b, pack(text=b"".join(texts), length=length, begin=x["begin"][i], done_code=code, **pack_docs(x["doc"][i], x["salt"][i]), **pack_docs(x["doc"][j], x["salt"][j], "done_"))))
-            contents.clear()
+            known.clear()
             return _blobs(out)
 
         size = 0
@@ -343,17 +342,17 @@ def _send_contents(rule: Rule, buckets: int, flush: int):
                     continue
                 counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ps), 0), np.int64)
                 wanted = np.sort(np.repeat(np.arange(len(doc), dtype=np.int64), counts) << 40 | np.asarray(ps.flatten(), np.int64))
-                for key, begin, count, content, row in runs(elements, rule):
+                for key, begin, count, row in runs(elements, rule):
                     at = begin - elements.first[row]
                     code = row.astype(np.int64) << 40 | at
                     place = np.searchsorted(wanted, code)
                     keep = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == code)
                     if not len(keep):
                         continue
-                    texts = elements.contents(begin[keep], begin[keep] + count[keep] + rule.size - 1)
-                    contents += texts
-                    held.add(key=key[keep], begin=at[keep], count=count[keep], content=content[keep], doc=doc[row[keep]], salt=salt[row[keep]])
-                    size += sum(map(len, texts))
+                    before, texts = len(known), elements.contents(begin[keep], begin[keep] + count[keep] + rule.size - 1)
+                    content = np.fromiter((known.setdefault(c, len(known)) for c in texts), np.int64, len(texts))
+                    held.add(key=key[keep], begin=at[keep], count=count[keep], content=content, doc=doc[row[keep]], salt=salt[row[keep]])
+                    size += (len(known) - before) * 3 * rule.size + 24 * len(keep)
                 if size >= flush:
                     yield emit()
                     size = 0
@@ -434,7 +433,7 @@ def repeated_windows(docs: DataFrame, rule: Rule, matcher: Matcher, text: str =
     """
     if rule.gram >= rule.size:
         raise ValueError("a minimizer must be shorter than a window")
-    buckets = partitions(docs.sparkSession)
+    buckets = text_buckets(docs, text)
     salt = F.shiftright(F.xxhash64(text), 32).cast("int")
     rows = docs.select("doc_id", salt.alias("salt"), F.col(text).alias("text"))
     blob, result, row = "bucket int, blob binary", "doc_id long, salt int, code long", ["doc_id", "salt"]

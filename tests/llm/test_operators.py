@@ -248,20 +248,64 @@ def test_kept_text_and_empty_tables(spark, docs, none):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in kept)
 
 
-@pytest.mark.parametrize("aligned", [False, True])
-def test_suffix_buckets_are_sorted(aligned):
+def test_suffix_buckets_are_sorted():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
     data[1000:1400] = data[200:600]
+    data[2000:2300] = 97
     places = np.arange(2900)
     raw = data.tobytes()
-    buckets = list(suffix_dedup.sorted_buckets(data, places, 50, bucket=200, aligned=aligned))
+    buckets = list(suffix_dedup.sorted_buckets(data, places, 50, bucket=200))
     assert len(buckets) > 5 and sorted(np.concatenate(buckets).tolist()) == places.tolist()
     order = [raw[p : p + 50] for b in buckets for p in b.tolist()]
-    if aligned:
-        assert [k[:7] for k in order] == sorted(k[:7] for k in order)
-    else:
-        assert order == sorted(order)
+    assert order == sorted(order)
+    assert suffix_dedup.CoverRanks(data, 50).rank.dtype == np.int32
+
+
+def test_blocks_keep_keys_whole():
+    rng = np.random.default_rng(1)
+    key, length = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(60, 90, 300)
+    key[:50] = 77  # more than a block by itself
+    key[50] = 99
+    got = list(suffix_dedup.blocks(key, length, 1000))
+    assert len(got) > 10 and sorted(np.concatenate(got).tolist()) == [i for i in range(300) if (key == key[i]).sum() > 1]
+    where = [{int(k) for k in key[b]} for b in got]
+    assert all(not x & y for i, x in enumerate(where) for y in where[:i])
+    assert all(length[b].sum() <= 1000 or len(w) == 1 for b, w in zip(got, where, strict=True))
+    assert list(suffix_dedup.blocks(np.arange(3, dtype=np.uint64), length[:3], 10)) == []
+
+
+def test_texts_longer_than_a_segment(spark):
+    """Both repeat operators on texts of more than a million bytes, one of more than a million words."""
+    from helixframe.llm.windows import SEGMENT
+
+    rng = random.Random(8)
+    vocabulary = [*{"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 4))) for _ in range(3000)}]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(300))
+    long = " ".join(rng.choice(vocabulary) for _ in range(300_000))
+    cut = SEGMENT - 400  # the passage crosses the end of the first segment
+    rows = [(1, passage), (2, long[:cut] + " " + passage + " " + long[cut:]), (3, long[5000:9000]), (4, passage[::-1])]
+    assert len(rows[1][1]) > SEGMENT
+    seen, want = set(), []
+    for i, t in rows:
+        raw, marks = t.encode(), np.zeros(len(t) + 1, np.int64)
+        here = {raw[p : p + 50] for p in range(len(raw) - 49)}
+        for p in range(len(raw) - 49):
+            if raw[p : p + 50] in seen:
+                marks[p] += 1
+                marks[p + 50] -= 1
+        seen |= here
+        cover = np.cumsum(marks[:-1]) > 0
+        want.append((i, len(raw), int(cover.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~cover].tobytes()).hexdigest()))
+    assert collected(suffix_dedup.op3_suffix_dedup(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "kept_sha256") == want
+    assert [w[2] for w in want[:1]] == [0] and want[1][2] >= len(passage) and want[2][2] == 4000
+    many = " ".join(vocabulary[k % len(vocabulary)] if k % 7 else str(k) for k in range(SEGMENT + 5000))
+    w = many.split()
+    rows = [(1, passage), (2, many[:50_000]), (3, many.replace(w[SEGMENT - 91] + " ", passage + " ", 1))]
+    got = {r["doc_id"]: r for r in lz_dedup.op10_passage_dedup(frame(spark, rows)).collect()}
+    assert got[3]["n_words"] == len(rows[2][1].split()) and got[2]["n_removed"] == 0
+    first = len(many[:50_000].split()) - 1  # all words of the second document, but for one that is cut
+    assert got[3]["n_removed"] in (300 + first, 300 + first + 1)
 
 
 def test_factors_join_sources():
@@ -271,6 +315,9 @@ def test_factors_join_sources():
     ref = lz_dedup.Reference(values, first, np.array([1, 2, 3]), 50)
     assert [(a, n) for a, n, _ in ref.factors(2, 3)] == [(0, 75), (26, 74)]
     assert [(a, n) for a, n, _ in ref.factors(1, 2)] == [(0, 50)] and list(ref.factors(0, 1)) == []
+    ref.source[int(ref.base[2])] = 200  # as if another window had the same hash: the words decide
+    ref.window[:] = 5
+    assert [(a, n) for a, n, _ in ref.factors(2, 3)] == [(0, 75), (26, 74)]
 
 
 # ---- near duplicates
