@@ -12,9 +12,16 @@ set's prefix has no partner at all.
 *Index.* Survivors order their shingles by how often survivors hold them, rare ones first (estimated
 by a table of counters of fixed size: any order is valid as long as all sets use the same), and
 extend their prefixes by ``classes`` shingles, so that two linked sets share ``classes + 1`` prefix
-shingles at least. A rare shingle is a key by itself. Frequent shingles are keys only as combinations
-of two that fall into the same of ``classes`` classes: ``classes + 1`` shared shingles cannot all lie
-in different ones.
+shingles at least. A rare shingle of the plain prefix is a key by itself: the rarest shared one lies in
+both plain prefixes. If that one is frequent all shared ones are, and frequent shingles of the extended
+prefix are keys as combinations of two that fall into the same of ``classes`` classes: ``classes + 1``
+shared shingles cannot all lie in different ones. Of a key's sets those whose size fits no other set's
+are left out. Sets travel as compressed words and are cut to shingles where they are compared.
+
+*Errors.* Shingles and sets are named by 64-bit hashes. Of N different shingles two share a name with
+probability N * N / 2**65 (3e-4 for 1e8 of them), and a link changes only where that happens inside one
+compared pair, at most 2 * n * n / 2**64 for two sets of n: 1e-13 a pair at n = 1000. Of S different
+sets two share signature and size with probability below S * S / 2**65: 3e-6 for 1e7 sets.
 
 *Verification.* A key is open while its sets are not all in one component. In each round every set
 names its most frequent open key; all sets of a named key are gathered in a block and compared
@@ -27,14 +34,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, by_group, grams, materialize, mix, partitions, prefix_sums, range_hash, row_ranges, utf8, word_hashes
+from .shared import LOWER, by_batch, by_group, discard, grams, materialize, mix, partitions, prefix_sums, range_hash, row_ranges, text_buckets, utf8, word_hashes
 from .windows import Sharing, _blobs, _Held, group_edges, pack, pack_docs, split_by, unpack, unpack_docs
 
 COUNTERS = 1 << 22
 RANGES = 16
+SALTS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, gram: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +103,7 @@ def describe(docs: DataFrame, gram: int, text: str) -> DataFrame:
 
 def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: int = 3_000_000) -> DataFrame:
     """(sig, shared): how many shingles of each set's extended prefix occur in another set's; sets without any are missing."""
-    buckets = partitions(docs.sparkSession)
+    buckets = text_buckets(docs, text)
 
     def send(batches):
         sharing = Sharing(buckets)
@@ -137,26 +146,47 @@ def shared_counts(docs: DataFrame, gram: int, percent: int, text: str, flush: in
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame, gram: int, text: str) -> DataFrame:
-    """(sid, n, tokens) of each surviving set, read from one of its documents: its signature, size and sorted, packed shingles."""
+    """(sid, n, words) of each surviving set, read from one of its documents: its signature, size and compressed, lower-case words.
+
+    A set whose document occurs more than once comes as often; that changes no component.
+    """
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch, a, shingle, edges in _sets(batches, gram, 2):
-            keep = np.flatnonzero(signatures(shingle, edges) == np.asarray(batch.column(1).slice(a, len(edges) - 1)))
-            rows = [shingle[edges[r] : edges[r + 1]].tobytes() for r in keep.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, len(edges) - 1).take(pa.array(keep)), pa.array(np.diff(edges)[keep]), pa.array(rows, pa.binary())], names=["sid", "n", "tokens"])
+            sid = np.asarray(batch.column(1).slice(a, len(edges) - 1))
+            keep = np.flatnonzero(signatures(shingle, edges) == sid)
+            data, offsets = utf8(batch.column(2).slice(a, len(edges) - 1))
+            rows = [squeeze(b" ".join(LOWER[data[offsets[r] : offsets[r + 1]]].tobytes().split())) for r in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[keep]), pa.array(np.diff(edges)[keep]), pa.array(rows, pa.binary())], names=["sid", "n", "words"])
 
     joined = docs.join(survivors, "doc_id")
-    return joined.select("doc_id", "sig", text).mapInArrow(by_batch(run), "sid long, n long, tokens binary").dropDuplicates(["sid"])
+    return joined.select("doc_id", "sig", text).mapInArrow(by_batch(run), "sid long, n long, words binary")
+
+
+def unpacked(words: pa.Array, gram: int, limit: int = 1 << 21):
+    """(first row, list of sets) of compressed words, about ``limit`` bytes of text at a time."""
+    open_one = zstandard.ZstdDecompressor().decompress
+    parts, size, first = [], 0, 0
+    for i, blob in enumerate(words):
+        parts.append(open_one(blob.as_py()))
+        size += len(parts[-1])
+        if size >= limit or i + 1 == len(words):
+            offsets = np.cumsum([0, *map(len, parts)])
+            shingle, edges = shingle_sets(np.frombuffer(b"".join(parts), np.uint8), offsets, gram)
+            yield first, np.split(shingle, edges[1:-1])
+            parts, size, first = [], 0, i + 1
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
+def frequencies(sets: DataFrame, gram: int) -> np.ndarray:
     """Estimated number of sets with a shingle, by the low bits of its hash: COUNTERS numbers, never too low."""
 
     def count(batches):
         table = np.zeros(COUNTERS, np.int32)
         for batch in batches:
-            for tokens in batch.column(0):
-                table[np.frombuffer(tokens.as_py(), np.uint64) & np.uint64(COUNTERS - 1)] += 1
+            for _, found in unpacked(batch.column(0), gram):
+                for tokens in found:
+                    table[tokens & np.uint64(COUNTERS - 1)] += 1
         used = np.flatnonzero(table)
         step = COUNTERS // RANGES
         rows = [(b, pack(at=(used[i] % step).astype(np.uint32), n=table[used[i]])) for b, i in split_by(used // step, RANGES)]
@@ -171,25 +201,22 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int32)
     step = COUNTERS // RANGES
-    for b, blob in sets.select("tokens").mapInArrow(by_batch(count), "bucket int, blob binary").groupBy("bucket").applyInArrow(by_group(add), "bucket int, blob binary").collect():
+    for b, blob in sets.select("words").mapInArrow(by_batch(count), "bucket int, blob binary").groupBy("bucket").applyInArrow(by_group(add), "bucket int, blob binary").collect():
         out[b * step : (b + 1) * step] = unpack(bytes(blob))["n"]
     return out
 
 
 def index_keys(tokens: np.ndarray, often: np.ndarray, percent: int, rare: int) -> np.ndarray:
-    """The keys of one set: rare shingles of its extended prefix, and same-class pairs of the frequent ones."""
+    """The keys of one set: rare shingles of its prefix, and same-class pairs of the frequent ones of its extended prefix."""
     n = len(tokens)
     order = np.lexsort((tokens, often))
     tokens, often = tokens[order], often[order]
     prefix = n - int(least_overlap(n, percent)) + 1
-    out = []
+    out = [tokens[:prefix][(often[:prefix] > 1) & (often[:prefix] <= rare)]]
     # two partners' sizes differ by less than a factor of 2, so they meet in the smaller one's band
     for band in {n.bit_length(), int(least_overlap(n, percent)).bit_length()}:
         classes = max(1, (1 << band) // 16)
-        part, count = tokens[: prefix + classes], often[: prefix + classes]
-        alone = part[(count > 1) & (count <= rare)]
-        out.append(alone)
-        frequent = part[count > rare]
+        frequent = tokens[: prefix + classes][often[: prefix + classes] > rare]
         if len(frequent) > 1:
             of = (frequent >> np.uint64(40)) % np.uint64(classes)
             by = np.lexsort((frequent, of))
@@ -199,11 +226,17 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, percent: int, rare: int) -
                 if not len(same):
                     break
                 out.append(mix(frequent[same] * np.uint64(0x9E3779B97F4A7C15) + frequent[same + gap] + np.uint64(band)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+    return np.unique(np.concatenate(out))
+
+
+def fits_another(key: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, sorted by key and size, share their key with one whose size allows a link: a neighbour's then does."""
+    near = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+    return np.concatenate([[False], near]) | np.concatenate([near, [False]])
 
 
-def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush: int = 1 << 21) -> DataFrame:
-    """(key, sid, n, size) of the keys that two sets or more have, ``size`` being how many. Keys are told apart by 48 bits and their bucket; a collision only adds candidates."""
+def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, gram: int = 5, flush: int = 1 << 21) -> DataFrame:
+    """(key, sid, n, size) of the keys that two sets or more of fitting sizes have, ``size`` being how many. Keys are told apart by 48 bits and their bucket; a collision only adds candidates."""
     shared = sets.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers, whatever the input
     buckets = partitions(sets.sparkSession)
 
@@ -219,13 +252,14 @@ def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush:
             return _blobs(rows)
 
         for batch in batches:
-            for sid, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = np.frombuffer(tokens.as_py(), np.uint64)
-                keys = index_keys(t, table[t & np.uint64(COUNTERS - 1)], percent, rare)
-                if len(keys):
-                    held.add(key=keys, sid=np.full(len(keys), sid, np.int64), n=np.full(len(keys), n, np.int64))
-                if held.n >= flush:
-                    yield emit()
+            sids = batch.column(0).to_pylist()
+            for first, found in unpacked(batch.column(1), gram):
+                for sid, t in zip(sids[first : first + len(found)], found, strict=True):
+                    keys = index_keys(t, table[t & np.uint64(COUNTERS - 1)], percent, rare)
+                    if len(keys):
+                        held.add(key=keys, sid=np.full(len(keys), sid, np.int64), n=np.full(len(keys), len(t), np.int64))
+                    if held.n >= flush:
+                        yield emit()
         if held.n:
             yield emit()
 
@@ -233,19 +267,21 @@ def entries(sets: DataFrame, often: np.ndarray, percent: int, rare: int, flush:
         parts = [unpack(b.as_py()) for b in table.column("blob")]
         key = np.concatenate([x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32) for x in parts])
         sid, n = np.concatenate([unpack_docs(x)[0] for x in parts]), np.concatenate([x["n"] for x in parts])
-        order = np.argsort(key, kind="stable")
-        size = np.diff(np.append(group_edges(key[order]), len(key)))
+        order = np.lexsort((n, key))
+        keep = order[fits_another(key[order], n[order].astype(np.int64), percent)]
+        size = np.diff(np.append(group_edges(key[keep]), len(keep)))
         each = np.repeat(size, size)
-        keep, each = order[each > 1], each[each > 1]
         full = (key[keep] * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())).astype(np.int64)
         return pa.table({"key": pa.array(full), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int64)), "size": pa.array(each.astype(np.int64))})
 
-    sent = sets.select("sid", "n", "tokens").mapInArrow(by_batch(send), "bucket int, blob binary")
+    sent = sets.select("sid", "words").mapInArrow(by_batch(send), "bucket int, blob binary")
     return sent.groupBy("bucket").applyInArrow(by_group(meet), "key long, sid long, n long, size long")
 
 
 def link_block(sids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join what the labels keep apart: a spanning forest over every two sets of different labels."""
+    sids, one = np.unique(sids, return_index=True)  # a set may come twice
+    labels, sets = labels[one], [sets[i] for i in one.tolist()]
     _, root, many = np.unique(labels, return_inverse=True, return_counts=True)
     order = np.argsort(-many[root], kind="stable")  # the commonest label first: its sets need not meet each other
     sids, root, sets = sids[order], root[order], [sets[i] for i in order.tolist()]
@@ -276,7 +312,7 @@ def link_block(sids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], per
     return out
 
 
-def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: int, gram: int = 5) -> DataFrame:
     """(a, b): links that connect what is connected inside each block. ``assigned``: (sid, key, label, size of the key)."""
     chunks = F.greatest(F.ceil(F.col("size") * 2 / block), F.lit(1)).cast("int")
     half = F.pmod(F.xxhash64("sid"), chunks).cast("int")
@@ -289,26 +325,31 @@ def compare_blocks(assigned: DataFrame, sets: DataFrame, percent: int, block: in
 
     def link(table: pa.Table) -> pa.Table:
         sids, labels = np.asarray(table.column("sid")), np.asarray(table.column("label"))
-        found = link_block(sids, labels, [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")], percent) if len(sids) > 1 else []
+        found = link_block(sids, labels, [x for _, part in unpacked(table.column("words"), gram) for x in part], percent) if len(sids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return parts.join(sets.select("sid", "tokens"), "sid").groupBy("key", "i", "j").applyInArrow(by_group(link), "a long, b long")
+    return parts.join(sets.select("sid", "words"), "sid").groupBy("key", "i", "j").applyInArrow(by_group(link), "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, gram: int = 5) -> DataFrame:
     """The pairs (a, b) that link."""
-    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    # only sets that some pair names travel
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    some = materialize(sets.join(named, "sid", "left_semi"), "named")
+    joined = pairs.join(some.select(F.col("sid").alias("a"), F.col("words").alias("x")), "a").join(some.select(F.col("sid").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for (_, left), (_, right) in zip(unpacked(batch.column(2), gram, 1), unpacked(batch.column(3), gram, 1), strict=True):
+                x, y = left[0], right[0]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(by_batch(run), "a long, b long")
+    found = materialize(joined.mapInArrow(by_batch(run), "a long, b long"), "links")
+    discard(some)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,7 +368,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        current = materialize(small, "edges")
+        current, last = materialize(small, "edges"), current
+        discard(last)
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return current.select(F.col("u").alias("sid"), F.col("v").alias("label"))
@@ -351,18 +393,20 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     counts = shared_counts(rows.where(F.col("text").isNotNull()), gram, percent, "text")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 8)
     survivors = groups.join(counts, "sig").where(F.col("shared") >= need).select("doc_id", "sig")
-    sets = materialize(survivor_sets(rows.where(F.col("text").isNotNull()), survivors, gram, "text"), "tokens")
-    index = materialize(entries(sets, frequencies(sets), percent, rare), "entries")
+    sets = materialize(survivor_sets(rows.where(F.col("text").isNotNull()), survivors, gram, "text"), "words")
+    index = materialize(entries(sets, frequencies(sets, gram), percent, rare, gram), "entries")
     links = materialize(tied, "links")
     labels = components(links)
-    met, opened = None, labelled(index, labels)  # at first every key is open
+    scratch, met, opened = [sets, index, links], None, labelled(index, labels)  # at first every key is open
     for k in range(rounds):
         if k:
             opened = materialize(open_entries(opened, labels), "open")
+            scratch.append(opened)
         chosen = opened.groupBy("sid").agg(F.max(F.struct("size", "key"))["key"].alias("key")).select("key").distinct()
         blocks = materialize(opened.join(chosen, "key", "left_semi"), "blocks")
-        links = materialize(links.unionByName(compare_blocks(blocks, sets, percent, block)), "links")
+        links = materialize(links.unionByName(compare_blocks(blocks, sets, percent, block, gram)), "links")
         labels = components(links)
+        scratch += [blocks, links]
         # the chosen keys are done: all their sets have met
         opened = opened.join(chosen, "key", "left_anti")
         mine = blocks.select("sid", "key")
@@ -372,13 +416,21 @@ def near_duplicates(docs: DataFrame, gram: int = 5, percent: int = 75, rare: int
     left, right = (opened.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "label", "met"))) for side in "ab")
     apart = ~F.coalesce(F.arrays_overlap("met_a", "met_b"), F.lit(False))
     rest = left.join(right, "key").where((F.col("sid_a") < F.col("sid_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & apart)
-    rest = rest.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    found = materialize(verify(rest, sets, percent), "links")
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
-    classed = groups.select("sig", "n", "doc_id").join(labels.select(F.col("sid").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    smallest = classed.groupBy("label").agg(F.min("doc_id").alias("component"))
-    named_groups = classed.join(smallest, "label").select(F.col("sig").alias("g_sig"), F.col("n").alias("g_n"), "component")
+    rest = materialize(rest.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), "rest")
+    scratch += [met, opened, rest]
+    if not rest.isEmpty():
+        found = verify(rest, sets, percent, gram)
+        scratch.append(found)
+        if not found.isEmpty():
+            labels = components(links.unionByName(found))
+    discard(*scratch)
+    # classes of two sets or more; a very large one is spread over ``SALTS`` tasks
+    labels = labels.unionByName(labels.select(F.col("label").alias("sid"), "label").distinct())
+    classed = groups.join(labels.select(F.col("sid").alias("sig"), "label"), "sig").select("sig", "n", "doc_id", "label", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int").alias("salt"))
+    smallest = classed.groupBy("label").agg(F.min("doc_id").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classed = classed.join(smallest, ["label", "salt"]).select("sig", "n", "component")
+    # the rest are by themselves: their set's smallest document names them
+    named_groups = groups.join(classed, ["sig", "n"], "left").select(F.col("sig").alias("g_sig"), F.col("n").alias("g_n"), F.coalesce("component", "doc_id").alias("component"))
     out = described.join(named_groups, (F.col("sig") == F.col("g_sig")) & (F.col("n") == F.col("g_n")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -396,4 +448,10 @@ def open_entries(index: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_jaccard_join(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: the number of its 5-word shingles and the smallest doc_id that links of 0.75 or more reach.
+
+    Null and empty texts have no shingle and are their own component; a null doc_id has a null one.
+    Rows of one doc_id are one node, so a repeated row changes nothing. No documents give no row.
+    Columns other than doc_id and text are ignored.
+    """
     return near_duplicates(docs)
