@@ -396,18 +396,42 @@ def test_the_index_returns_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(0)
     items = decontamination.Items(23, 0.75)
     for k in range(50):
-        items.add(k, rng.integers(0, 1 << 63, 20).astype(np.uint64), 5)
+        items.add(k, rng.integers(0, 1 << 63, 20 if k % 2 else 30).astype(np.uint64), 5)
     items.index()
-    prints = rng.integers(0, 256, (3000, 8)).astype(np.uint8)
-    for i in range(50):
-        near = prints[:200].copy()
-        near[:] = items.block[i]
+    prints = rng.integers(0, 256, (2000, 8)).astype(np.uint8)
+    for size in (20, 30):
+        mine, block, _ = items.by_gram[5][2][size]
+        near = np.repeat(block, 30, axis=0)
         for row in near:
-            for bit in rng.choice(64, rng.integers(0, 24), replace=False):
+            for bit in rng.choice(64, rng.integers(0, 26), replace=False):
                 row[bit // 8] ^= 1 << (bit % 8)
         everything = np.concatenate([prints, near])
-        distance = items.popcount[everything ^ items.block[i]].sum(axis=1)
-        assert items.candidates(everything, i).tolist() == np.flatnonzero(distance <= 23).tolist()
+        want = {(w, int(i)): int(d) for j, i in enumerate(mine) for w, d in enumerate(items.popcount[everything ^ block[j]].sum(axis=1)) if d <= 23}
+        assert {(w, i): d for w, i, d in zip(*(x.tolist() for x in items.candidates(everything, 5, size)), strict=True)} == want and len(want) > 500
+
+
+def test_no_candidate_without_the_index(spark, monkeypatch):
+    """What the block tables do not bring together is not found."""
+    items = decontamination.index_items([(1, "one two three four five six seven eight nine ten")])
+    shingles = np.array(sorted(items.counts[0]), np.uint64)
+    hits = np.arange(len(shingles))
+    assert [x[0] for x in items.leaks(shingles, 5, hits)] == [1]
+    for gram in items.by_gram.values():
+        for size, (ids, block, near) in gram[2].items():
+            gram[2][size] = (ids, block, np.zeros_like(near))
+    assert list(items.leaks(shingles, 5, hits)) == []
+
+
+def test_fingerprints_of_long_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    shingles = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    monkeypatch.setattr(decontamination, "CHUNK", 16)
+    for size in (1, 15, 16, 40, 300):
+        got = decontamination.fingerprints(shingles, size)
+        votes = np.array([decontamination.bit_votes(shingles[k : k + size]).sum(axis=0) for k in range(len(shingles) - size + 1)])
+        assert got.tolist() == np.packbits(votes > 0, axis=1, bitorder="little").tolist()
+        lo = len(got) // 3
+        assert decontamination.fingerprints(shingles, size, lo, len(got) - lo).tolist() == got[lo : len(got) - lo].tolist()
 
 
 # ---- chat
