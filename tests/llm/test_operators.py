@@ -551,6 +551,44 @@ def test_broken_files_are_refused():
             webp.decode(bad)
 
 
+def test_the_column_chooses_its_streams(spark):
+    """Copies, cache and transforms are chosen where they pay, and what was chosen is what is read back."""
+    rng = random.Random(6)
+    line = " ".join(prose(rng, 30))
+    texts = {"prose": " ".join(prose(rng, 30, "abcdefghijklmnopqrstuvwxyz")), "lines": ((line + " " * (-len(line) % 4)) * 60)[:12000], "few": "abcdefgh" * 400, "flat": "z" * 4000, "long": line * 300}
+    pay = {k: np.frombuffer((t + "\0" * (-len(t) % 64)).encode()[: 16 << 10], np.uint8) for k, t in texts.items()}
+    files = {k: webp.Codec().write(p, np.array([0, len(p)]))[0].tobytes() for k, p in pay.items()}
+    kinds = {}
+    for k, f in files.items():
+        bits = webp.Bits(f[20:], 40)
+        kinds[k] = "transform" if bits.read(1) else "cache" if bits.read(1) else "plain"
+        assert webp.decode(f).astype("<u4").tobytes() == pay[k].tobytes()
+        assert webp.Reader().read(np.frombuffer(f, np.uint8), np.array([0, len(f)]))[0].astype("<u4").tobytes() == pay[k].tobytes()
+    assert kinds == {"prose": "plain", "lines": "cache", "few": "transform", "flat": "transform", "long": "cache"}
+    assert len(files["lines"]) < len(pay["lines"]) / 6 and len(files["flat"]) < 200
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in webp.op9_lossless_webp(made).collect()}
+    assert all(got[k]["payload_sha256"] == hashlib.sha256((t + "\0" * (-len(t) % 64)).encode()).hexdigest() for k, t in enumerate(texts.values()))
+
+
+def test_random_images_in_lockstep():
+    rng = np.random.default_rng(9)
+    parts = []
+    for k in range(120):
+        n = 16 * int(rng.integers(1, 257))
+        px = rng.integers(0, 1 << 32, int(rng.choice([1, 3, 40, 3000])), dtype=np.uint32)
+        px = px[rng.integers(0, len(px), n)]
+        for _ in range(int(rng.integers(0, 5))):
+            a, b, m = (int(x) for x in rng.integers(0, n, 3))
+            m = min(m, n - max(a, b))
+            px[a : a + m] = px[b : b + m].copy()
+        parts.append(px)
+    data = np.concatenate(parts).astype("<u4").view(np.uint8)
+    media, at = webp.Codec().write(data, np.cumsum([0, *(4 * len(p) for p in parts)]))
+    for i, (got, want) in enumerate(zip(webp.Reader().read(media, at), parts, strict=True)):
+        assert (got == want).all() and (webp.decode(media[at[i] : at[i + 1]].tobytes()).ravel() == want).all()
+
+
 def test_mixed_streams_in_one_column():
     """Files of other encoders take the general path beside those that advance together."""
     rng = np.random.default_rng(1)
