@@ -1,8 +1,10 @@
 """Subword lattice likelihood.
 
-The pieces of an existing subword vocabulary get unigram probabilities from the training words: each
-different word counts once per occurrence, cut by the vocabulary's own tokenizer, with one added to
-every count. The probability of a word is the sum over *all* its segmentations into pieces, computed
+The pieces of an existing subword vocabulary get unigram probabilities from the vocabulary's own scores
+and the training words. The scores are merge ranks, so a piece of rank r weighs 1 / (1 + r) (Zipf's law;
+byte pieces rank last); these weights, scaled to one pseudo-count a piece on average, are added to the
+counts of the training words' pieces, each word cut by the vocabulary's own tokenizer. Without training
+words the scores alone weigh the segmentations. The probability of a word is the sum over *all* its segmentations into pieces, computed
 by the forward recursion in log space for many words at once; byte pieces cover what no other piece
 does. Each training word is also an arc of the lattice by itself, weighted by its count, and what that
 leaves to the segmentations is the share that new words have (Witten and Bell's estimate). A text is a
@@ -55,6 +57,12 @@ class Vocabulary:
             raise ValueError("two pieces share a hash")
         self.slot_of = {s: i for i, s in enumerate(self.strings)}
         self.slots = np.array([self.slot_of.get(p, -1) if p else -1 for p in self.piece_bytes])
+        rank = np.full(len(self.strings), self.size, np.float64)
+        for i, slot in enumerate(self.slots.tolist()):
+            if slot >= 0 and not m.is_byte(i):
+                rank[slot] = min(rank[slot], max(0.0, -m.get_score(i)))
+        self.prior = 1 / (1 + rank)
+        self.prior /= self.prior.sum()
         self.maybe, self.begins = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self.maybe[self.keys >> np.uint64(42)] = True
         heads = {s[:n] for s in self.strings for n in range(1, len(s))}
@@ -210,7 +218,7 @@ def word_table(docs: DataFrame, vocabulary: str, buckets: int, flush: int = 8 <<
 
 
 def piece_probabilities(words: DataFrame, vocabulary: str, end_count: int) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end, one added to every count."""
+    """Log probabilities of the pieces and of the end: counts besides the pseudo-counts of the vocabulary's scores, one for the end."""
     size = len(vocabulary_at(vocabulary).strings)
 
     def add(batches):
@@ -227,7 +235,7 @@ def piece_probabilities(words: DataFrame, vocabulary: str, end_count: int) -> tu
     def sum_up(table: pa.Table) -> pa.Table:
         return pa.table({"n": pa.array([sum(np.frombuffer(x.as_py()) for x in table.column("n")).tobytes()], pa.binary())})
 
-    total = np.ones(size)
+    total = size * vocabulary_at(vocabulary).prior
     for (n,) in parts.withColumn("part", F.col("part") % 16).groupBy("part").applyInArrow(by_group(sum_up), "n binary").collect():
         total += np.frombuffer(bytes(n))
     end = end_count + 1.0
@@ -374,6 +382,12 @@ def lattice_scores(docs: DataFrame, vocabulary: str, train: str, hot: int = 1 <<
 
 
 def op8_lattice_score(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Per row of ``docs``: its tokens, base score and the log10 probability of its text.
+
+    Null and empty texts are their end alone. A null doc_id is scored, neither held out nor learned
+    from; repeated rows count, and answer, as often as they occur. No documents give no row, and without
+    training documents the vocabulary's scores weigh alone. Columns other than doc_id and text are ignored.
+    """
     held_out = F.coalesce(crc_bucket(7) == 2, F.lit(False))
     learn = docs.select("doc_id", "text", (F.col("doc_id").isNotNull() & ~held_out).alias("train"))
     return lattice_scores(learn, vocabulary, "train").select("doc_id", (F.col("doc_id").isNotNull() & ~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -6,7 +6,8 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
+from decimal import Decimal
 
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
@@ -111,11 +112,53 @@ def op4(rows, items, threshold=0.75):
     return sorted(out)
 
 
-def segmentations(word: bytes, probability: dict[bytes, float]) -> float:
+def segmentations(word: bytes, probability: dict, zero=0.0):
     """Summed probability of all ways to cut ``word``."""
-    total = defaultdict(float)
-    total[0] = 1.0
+    total = [zero + 1] + [zero] * len(word)
     for a in range(len(word)):
         for b in range(a + 1, len(word) + 1):
-            total[b] += total[a] * probability.get(word[a:b], 0.0)
+            if word[a:b] in probability:
+                total[b] += total[a] * probability[word[a:b]]
     return total[len(word)]
+
+
+def op8_score(rows, path):
+    """log10 probability of each row's text, said again from the definition."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    strings = {}  # of each piece as bytes: its rank
+    for i in range(m.get_piece_size()):
+        if m.is_byte(i):
+            strings.setdefault(bytes([int(m.id_to_piece(i)[3:5], 16)]), m.get_piece_size())
+        elif not (m.is_control(i) or m.is_unknown(i)):
+            b = m.id_to_piece(i).encode()
+            strings[b] = min(strings.get(b, m.get_piece_size()), max(0.0, -m.get_score(i)))
+    zipf = {b: 1 / (1 + r) for b, r in strings.items()}
+    whole = sum(zipf.values())
+    pieces = {b: len(zipf) * z / whole for b, z in zipf.items()}
+    count, ends = Counter(), 0
+    for i, t in rows:
+        if i is not None and not held_out(i, 7):
+            ends += 1
+            count.update(words(t, True))
+    for w, c in count.items():
+        for i in m.encode(w):
+            if m.is_byte(i):
+                pieces[bytes([int(m.id_to_piece(i)[3:5], 16)])] += c
+            elif not (m.is_control(i) or m.is_unknown(i)):
+                pieces[m.id_to_piece(i).encode()] += c
+    total = sum(pieces.values()) + ends + 1
+    p = {b: Decimal(c / total) for b, c in pieces.items()}  # a long word's probability is below any float
+    n, v = sum(count.values()) + ends, len(count) + (ends > 0)
+
+    def probability(c, spread):
+        return float(((c + Decimal(spread) * max(v, 1)) / (n + max(v, 1))).log10())
+
+    end = probability(ends, (ends + 1) / total)
+    known = {}
+    for _, t in rows:
+        for w in words(t, True):
+            if w not in known:
+                known[w] = probability(count[w], segmentations("▁".encode() + w.encode(), p, Decimal(0)))
+    return [(i, sum(known[w] for w in words(t, True)) + end) for i, t in rows]

@@ -484,6 +484,19 @@ def test_counts_and_base_scores(spark, docs, rows, none):
     assert lattice.op8_lattice_score(none, public_path(PIECE)).collect() == []
 
 
+def test_scores_equal_a_plain_sum(spark, docs, rows):
+    """The whole of ``score``: pieces, words, new words and ends, in sums over all segmentations."""
+    def ordered(found):
+        return sorted(((i is not None, i or 0, x) for i, x in found))
+
+    want = ordered(brute.op8_score(rows, public_path(PIECE)))
+    got = ordered((r["doc_id"], r["score"]) for r in lattice.op8_lattice_score(docs, public_path(PIECE)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
+    few = [(i, t) for i, t in rows if i is not None and brute.held_out(i, 7)]  # nothing to learn from
+    got = ordered((r["doc_id"], r["score"]) for r in lattice.op8_lattice_score(frame(spark, few), public_path(PIECE)).collect())
+    assert len(few) > 1 and np.allclose([x[2] for x in got], [x[2] for x in ordered(brute.op8_score(few, public_path(PIECE)))], rtol=1e-9)
+
+
 def test_marginals_sum_all_segmentations():
     v = lattice.vocabulary_at(public_path(PIECE))
     rng = np.random.default_rng(0)
