@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontamination, jaccard, langid, lz_dedup, packing
-from helixframe.llm.shared import materialize
+from helixframe.llm.shared import discard, materialize
 from helixframe.llm.tokens import public_path
 
 
@@ -57,14 +57,22 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or a near copy of one."""
+    """Drop documents that hold a benchmark item or a near copy of one.
+
+    Null and empty texts hold none and stay, as do rows with a null doc_id. Rows that share a doc_id go
+    together if one of them holds an item.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = decontamination.find_leaks(docs, benchmark).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece, with its place."""
+    """Token sequences: one row per piece, with its place.
+
+    Null and empty texts are one piece of their end id; repeated rows and rows with a null doc_id are
+    packed as often as they occur.
+    """
     return packing.pack(docs, public_path("word_bpe_49k.json"))
 
 
@@ -77,8 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,9 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize, partitions
+
 ROLES = ["assistant", "system", "user"]
 SPEAKERS = {
     "assistant": ["assistant", "ai", "bot", "answer", "a", "model"],
@@ -112,9 +114,19 @@ def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str]]:
     return [(role, "\n".join(body).strip()) for role, body in out]
 
 
+MARK = re.compile(r"<(\\*)\|")
+ESCAPED = re.compile(r"<\\(\\*)\|")
+TURN = re.compile(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", re.DOTALL)
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    """The canonical form. Marks inside a text are spaced out, so that no text can open or close a turn."""
-    return "".join(f"<|{role}|>\n{text.replace('<|', '< |').replace('|>', '| >')}\n<|end|>\n" for role, text in turns)
+    """The canonical form. A ``<|`` inside a text gets a backslash (``<\\|`` one more, and so on), so that no text can open or close a turn."""
+    return "".join(f"<|{role}|>\n{MARK.sub(lambda m: f'<{chr(92)}{m[1]}|', text)}\n<|end|>\n" for role, text in turns)
+
+
+def parse_rendered(text: str) -> list[tuple[str, str]]:
+    """The turns that ``render`` was given."""
+    return [(role, ESCAPED.sub(lambda m: f"<{m[1]}|", body)) for role, body in TURN.findall(text)]
 
 
 def write_transcript(key: int, turns: list[tuple[str | None, str | None]]) -> tuple[list[str], list[int]]:
@@ -141,14 +153,32 @@ def write_transcript(key: int, turns: list[tuple[str | None, str | None]]) -> tu
 
 
 def segments(conversations: DataFrame, turns: int = 256) -> DataFrame:
-    """Rows (conv_id, segment, key, turns): at most ``turns`` consecutive turn numbers of a conversation together.
+    """Rows (conv_id, segment, key, turns): ``turns`` consecutive turns of a conversation together, its last segment fewer.
 
-    Repeated rows count once; a null conv_id is no conversation and a null turn comes first. However
-    long a conversation is, a task holds one segment of it.
+    Turns are ordered by turn number, a null one first, then by text and role, and numbered through;
+    repeated rows are so many turns. A null conv_id is no conversation. However long a conversation is,
+    whatever its turn numbers and however often a row is repeated, a task holds one segment of it at a
+    time: rows are dealt out by ranges of the whole order, and a range's numbers start where the ranges
+    before it end.
     """
-    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text").distinct()
-    segment = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / turns).cast("long")
-    return rows.groupBy("conv_id", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("turns")).withColumn("key", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(1 << 20)).cast("int"))
+    order = ["conv_id", "turn", "text", "role"]
+    rows = conversations.where(F.col("conv_id").isNotNull()).groupBy(*order).agg(F.count("*").alias("copies"))
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "turns")
+    # only a conversation that goes on into another range starts there after 0
+    totals = dealt.groupBy("conv_id", "part").agg(F.sum("copies").alias("n"))
+    cut = totals.groupBy("conv_id").agg(F.count("*").alias("parts")).where("parts > 1").select("conv_id")
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = totals.join(cut, "conv_id").select("conv_id", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    here = F.sum("copies").over(Window.partitionBy("conv_id", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = dealt.withColumn("here", F.coalesce(here, F.lit(0))).join(base, ["conv_id", "part"], "left")
+    numbered = numbered.withColumn("first", F.col("here") + F.coalesce("base", F.lit(0))).withColumn("last", F.col("first") + F.col("copies") - 1)
+    spread = numbered.withColumn("segment", F.explode(F.sequence(F.floor(F.col("first") / turns), F.floor(F.col("last") / turns))))
+    low = F.greatest("first", F.col("segment") * turns)
+    spread = spread.withColumn("times", (F.least("last", F.col("segment") * turns + turns - 1) - low + 1).cast("int")).withColumn("low", low)
+    parts = spread.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("low", "times", "turn", "text", "role"))).alias("rows"))
+    told = F.flatten(F.transform("rows", lambda r: F.array_repeat(F.struct(r["turn"].alias("turn"), r["text"].alias("text"), r["role"].alias("role")), r["times"])))
+    return parts.select("conv_id", "segment", told.alias("turns"), F.pmod(F.xxhash64("conv_id", "segment"), F.lit(1 << 20)).cast("int").alias("key"))
 
 
 def train(parts: DataFrame, limit: int = 2000) -> RoleModel:
@@ -182,5 +212,11 @@ def parse(parts: DataFrame, model: RoleModel) -> DataFrame:
 
 
 def op6_chat_format(conversations: DataFrame) -> DataFrame:
+    """Per segment of 256 turns: the turns found in its transcript and their canonical text.
+
+    A null conv_id is left out. A null turn comes first; a null role has no marker and counts as user,
+    a null or empty text is an empty turn. Equal turn numbers are ordered by text and role, and repeated
+    rows are so many turns. No conversations give no row. Other columns are ignored.
+    """
     parts = segments(conversations)
     return parse(parts, train(parts.where(F.pmod(F.xxhash64("conv_id"), F.lit(4)) != 2)))

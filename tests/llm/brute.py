@@ -162,3 +162,23 @@ def op8_score(rows, path):
             if w not in known:
                 known[w] = probability(count[w], segmentations("▁".encode() + w.encode(), p, Decimal(0)))
     return [(i, sum(known[w] for w in words(t, True)) + end) for i, t in rows]
+
+
+def best_path(seen, model):
+    """The likeliest states of a hidden Markov model for the observed rows, ties to the lower state."""
+    if not seen:
+        return []
+    n = len(model.start)
+
+    def emit(state, row):
+        return sum(table[state, x] for table, x in zip(model.emit, row, strict=True))
+
+    best, back = [model.start[s] + emit(s, seen[0]) for s in range(n)], []
+    for row in seen[1:]:
+        came = [max(range(n), key=lambda a: (best[a] + model.step[a, s], -a)) for s in range(n)]
+        best = [best[came[s]] + model.step[came[s], s] + emit(s, row) for s in range(n)]
+        back.append(came)
+    path = [max(range(n), key=lambda s: (best[s], -s))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]

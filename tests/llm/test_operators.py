@@ -443,14 +443,67 @@ def test_roles_are_recovered(spark):
     assert got.agg(F.avg("role_accuracy")).first()[0] > 0.9
 
 
+CHAT = "conv_id bigint, turn bigint, role string, text string, key string, segment string, turns string"
+
+
+def chats():
+    rows = [(1, 0, "user", "Hi\nthere?"), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (2, None, None, None), (3, 0, "tool", "<|end|> x <\\|user|>"), (None, 0, "user", "lost"), (5, 1, "user", "")]
+    rows += [(4, t, "user" if t % 2 == 0 else "assistant", f"line {t}") for t in range(600)]
+    rows += [(6, None, "user", f"no turn {t % 900}") for t in range(1500)] + [(7, 3, "assistant", "same")] * 700 + [(8, t // 300, ["user", "assistant"][t % 2], f"x {t}") for t in range(1000)]
+    random.Random(0).shuffle(rows)
+    return rows
+
+
 def test_chat_edge_cases(spark):
-    schema = "conv_id bigint, turn bigint, role string, text string, key string"
-    rows = [(1, 0, "user", "Hi\nthere?", "k"), (1, 1, "assistant", "Yes.", "k"), (1, 1, "assistant", "Yes.", "k"), (2, None, None, None, "k"), (3, 0, "tool", "<|end|> x", "k"), (None, 0, "user", "lost", "k")]
-    rows += [(4, t, "user" if t % 2 == 0 else "assistant", f"line {t}", "k") for t in range(600)]
-    out = chat.op6_chat_format(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r["conv_id"], r["segment"], r["n_turns"]) for r in out) == [(1, 0, 2), (2, 0, 1), (3, 0, 1), (4, 0, 256), (4, 1, 256), (4, 2, 88)]
+    made = spark.createDataFrame([(*r, "k", "s", "t") for r in chats()], CHAT).repartition(5)
+    out = chat.op6_chat_format(made).collect()
+    sizes = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["conv_id"], r["segment"])):
+        sizes[r["conv_id"]].append(r["n_turns"])
+    assert sizes == {1: [3], 2: [1], 3: [1], 4: [256, 256, 88], 5: [1], 6: [256] * 5 + [220], 7: [256, 256, 188], 8: [256, 256, 256, 232]}
     assert all(r["rendered"].count("<|end|>") == r["found_turns"] for r in out)
-    assert chat.op6_chat_format(spark.createDataFrame([], schema)).collect() == []
+    assert chat.op6_chat_format(spark.createDataFrame([], CHAT)).collect() == []
+
+
+def test_chat_equals_a_plain_version(spark):
+    rows = chats() + [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").where("conv_id > 8").limit(400).collect()]
+    made = spark.createDataFrame([(*r, "k", "s", "t") for r in rows], CHAT).repartition(7)
+    parts = chat.segments(made)
+    model = chat.train(parts)
+    keys = {(r["conv_id"], r["segment"]): r["key"] for r in parts.collect()}
+    by_conv = defaultdict(list)
+    for c, *turn in rows:
+        if c is not None:
+            by_conv[c].append(turn)
+    want = []
+    for c, turns in by_conv.items():
+        turns.sort(key=lambda x: [(v is not None, v or 0 if k == 0 else v or "") for k, v in enumerate((x[0], x[2], x[1]))])
+        for seg in range(-(-len(turns) // 256)):
+            part = [(role, text) for _, role, text in turns[256 * seg : 256 * (seg + 1)]]
+            lines, truth = chat.write_transcript(keys[c, seg], part)
+            states = brute.best_path(chat.observe(lines).tolist(), model)
+            found = []
+            for line, state in zip(lines, states, strict=True):
+                if state % 2 == 0 or not found:
+                    m = chat.MARKER.match(line)
+                    found.append([chat.ROLES[state // 2], line[m.end() :] if m else line])
+                else:
+                    found[-1][1] += "\n" + line
+            found = [(role, text.strip()) for role, text in found]
+            text = chat.render(found)
+            assert chat.parse_rendered(text) == found
+            right = sum(a // 2 == b // 2 for a, b in zip(states, truth, strict=True)) / len(truth)
+            want.append((c, seg, len(part), len(found), round(right, 6), "".join(r[0] for r, _ in found), text, hashlib.sha256(text.encode()).hexdigest()))
+    got = chat.parse(parts, model)
+    assert collected(got) == sorted(want, key=str) and set(keys) == {w[:2] for w in want}
+
+
+def test_rendering_can_be_undone():
+    rng = random.Random(3)
+    for _ in range(500):
+        turns = [(rng.choice(chat.ROLES), "".join(rng.choice(["<", "|", ">", "\\", "end", "user", "\n", "a", "<|end|>"]) for _ in range(rng.randint(0, 12)))) for _ in range(rng.randint(0, 4))]
+        text = chat.render(turns)
+        assert chat.parse_rendered(text) == turns and text.count("<|") == 2 * len(turns)
 
 
 def test_viterbi_finds_the_best_path():
