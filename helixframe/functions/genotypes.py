@@ -26,12 +26,18 @@ def alleles() -> Column:
     return F.concat(F.array(F.col("ref")), F.coalesce(F.col("alt"), F.expr("cast(array() as array<string>)")))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def haplotypes(samples: Sequence[int] | None = None) -> Column:
     """Allele strings of the called haplotypes of the given sample indices (None: all), in sample order."""
     gt = F.col("gt") if samples is None else F.transform(F.array(*(F.lit(int(i)) for i in samples)), lambda i: F.element_at("gt", i + 1)) if samples else F.expr("cast(array() as array<array<int>>)")
     codes = F.filter(F.flatten(F.filter(F.coalesce(gt, F.expr("cast(array() as array<array<int>>)")), lambda g: g.isNotNull())), lambda c: c >= 0)
-    names = F.transform(codes, lambda c: F.try_element_at(alleles(), c + 1))
-    return F.filter(names, lambda a: F.coalesce(a.rlike("^[ACGT]+$"), F.lit(False)))
+    # an allele is tested once per site, not once per haplotype
+    usable = F.transform(alleles(), lambda a: F.when(a.rlike("^[ACGT]+$"), a))
+    return bound(usable, lambda names: F.filter(F.transform(codes, lambda c: F.get(names, c)), lambda a: a.isNotNull()))
 
 
 def n_called(samples: Sequence[int] | None = None) -> Column:
@@ -53,8 +59,11 @@ def called_bases(samples: Sequence[int] | None = None) -> Column:
 
 def major_of(items: Column) -> Column:
     """The most frequent item; ties go to the one that occurs first; null for none."""
-    scored = F.transform(F.array_distinct(items), lambda a: F.struct(count_of(items, a).alias("n"), (-F.array_position(items, a)).alias("first"), a.alias("item")))
-    return F.array_max(scored)["item"]
+
+    def best(x: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(x), lambda a: F.struct(count_of(x, a).alias("n"), (-F.array_position(x, a)).alias("first"), a.alias("item"))))["item"]
+
+    return bound(items, best)
 
 
 def snp_flag() -> Column:

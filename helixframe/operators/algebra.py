@@ -155,11 +155,20 @@ def _probabilities(two: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def covariance(two: DataFrame, n: int) -> DataFrame:
-    """(type, i, j, cov) for interior bins: p_ij - m_i m_j."""
-    p, m = _probabilities(two)
-    inside = m.where(F.col("i").between(1, n - 1))
-    grid = inside.select("type", "i", F.col("m").alias("mi")).join(inside.select("type", F.col("i").alias("j"), F.col("m").alias("mj")), "type")
-    return grid.join(p, ["type", "i", "j"], "left").select("type", "i", "j", (F.coalesce("p", F.lit(0.0)) - F.col("mi") * F.col("mj")).alias("cov"), "mi", "mj")
+    """(type, i, j, cov) for interior bins: p_ij - m_i m_j.
+
+    A type's cells, (n + 1)**2 at most, come together in one map, from which marginals and products are read.
+    """
+    sides = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("c")
+    cells = two.select("type", sides, (F.col("mass") / 2).alias("x")).groupBy("type", (F.col("c.i") * (n + 1) + F.col("c.j")).alias("cell")).agg(F.sum("x").alias("x"))
+    packed = cells.groupBy("type").agg(F.map_from_entries(F.collect_list(F.struct("cell", "x"))).alias("_x"), F.sum("x").alias("_all"))
+    bins = F.sequence(F.lit(0), F.lit(n))
+    own = F.transform(bins, lambda i: F.aggregate(bins, F.lit(0.0), lambda acc, j: acc + F.coalesce(F.try_element_at(F.col("_x"), i * (n + 1) + j), F.lit(0.0))) / F.col("_all"))
+    inside = F.sequence(F.lit(1), F.lit(n - 1))
+    grid = packed.withColumn("_m", own).withColumn("i", F.explode(inside)).withColumn("j", F.explode(inside))
+    mi, mj = F.get("_m", F.col("i")), F.get("_m", F.col("j"))
+    p = F.coalesce(F.try_element_at(F.col("_x"), F.col("i") * (n + 1) + F.col("j")), F.lit(0.0)) / F.col("_all")
+    return grid.select("type", "i", "j", (p - mi * mj).alias("cov"), mi.alias("mi"), mj.alias("mj")).where("mi > 0 and mj > 0")
 
 
 def correlation(two: DataFrame, n: int) -> DataFrame:

@@ -111,7 +111,8 @@ def codon_table(spark: SparkSession) -> DataFrame:
 def annotate_synonymy(sites: DataFrame, ctx: Context) -> DataFrame:
     """Tags ``Synonymy`` (1, 0 or a dot) and ``Synonymy_Info`` (codon/alternative[,start_gained][,stop_gained]) of SNPs.
 
-    Where a VEP ``CSQ`` or SnpEff ``ANN`` tag states synonymy differently, the value stays a dot.
+    Both stay a dot where the codons that a VEP ``CSQ`` tag names are others, or where a SnpEff ``ANN`` tag
+    states another synonymy.
     """
     df = with_codons(sites, ctx)
     alt = _on_strand(F.upper(F.get("alt", F.lit(0))))
@@ -120,10 +121,14 @@ def annotate_synonymy(sites: DataFrame, ctx: Context) -> DataFrame:
     df = df.withColumn("_other", other)
     code = codon_table(sites.sparkSession)
     df = df.join(F.broadcast(code.select(F.col("codon").alias("_codon"), F.col("amino").alias("_a"))), "_codon", "left").join(F.broadcast(code.select(F.col("codon").alias("_other"), F.col("amino").alias("_b"))), "_other", "left")
-    same = F.col("_a") == F.col("_b")
-    stated = F.coalesce(F.try_element_at("info", F.lit("CSQ")), F.try_element_at("info", F.lit("ANN")), F.lit(""))
-    says = F.when(stated.contains("synonymous_variant"), True).when(stated.contains("missense_variant"), False)
-    value = F.when(F.coalesce(says != same, F.lit(False)), F.lit(".")).otherwise(F.coalesce(same.cast("int").cast("string"), F.lit(".")))
-    gained = F.concat(F.when((F.col("_b") == "M") & (F.col("_a") != "M"), ",start_gained").otherwise(""), F.when((F.col("_b") == "*") & (F.col("_a") != "*"), ",stop_gained").otherwise(""))
-    df = set_info(df, "Synonymy_Info", F.coalesce(F.concat("_codon", F.lit("/"), "_other", gained), F.lit(".")))
-    return set_info(df, "Synonymy", value).select(*sites.columns)
+    value = F.coalesce((F.col("_a") == F.col("_b")).cast("int").cast("string"), F.lit("."))
+    vep = F.regexp_extract_all(F.regexp_extract(F.coalesce(F.try_element_at("info", F.lit("CSQ")), F.lit("")), "([actgACTG]{3}/[actgACTG]{3})", 1), F.lit("[a-zA-Z]{3}"), 0)
+    named = F.transform(vep, F.upper)
+    ours = F.array("_codon", "_other")
+    by_codons = (F.size(named) > 0) & ((F.size(F.array_except(named, ours)) > 0) | (F.size(F.array_except(ours, named)) > 0))
+    snpeff = F.try_element_at("info", F.lit("ANN"))
+    says = F.when(snpeff.contains("synonymous_variant"), "1").when(snpeff.contains("missense_variant"), "0")
+    kept = F.col("_other").isNotNull() & ~by_codons & F.coalesce(says == value, F.lit(True))
+    gained = F.concat(F.when(F.col("_other") == "ATG", ",start_gained").otherwise(""), F.when(F.col("_b") == "*", ",stop_gained").otherwise(""))
+    df = df.withColumns({"_value": F.when(kept, value).otherwise("."), "_text": F.when(kept, F.concat("_codon", F.lit("/"), "_other", gained)).otherwise(".")})
+    return set_info(set_info(df, "Synonymy_Info", F.col("_text")), "Synonymy", F.col("_value")).select(*sites.columns)

@@ -156,9 +156,10 @@ def within(sites: DataFrame, cds: DataFrame, aliases=None, width: int = 1 << 14)
 
 
 class DeviantOutgroupFilter(Filter):
-    """Keep sites whose outgroup majority is the ingroup majority.
+    """Keep sites whose outgroup majority is the ingroup majority, alleles of several letters taken whole.
 
-    ``strict``: drop sites without an outgroup call. ``keep_monomorphic``: sites that are no SNPs stay.
+    ``strict``: drop sites without an outgroup call. ``keep_monomorphic``: sites that are no SNPs stay;
+    sampled monomorphic sites always do.
     """
 
     def __init__(self, outgroups: Sequence[str], ingroups: Sequence[str] | None = None, strict: bool = True, keep_monomorphic: bool = True):
@@ -167,9 +168,9 @@ class DeviantOutgroupFilter(Filter):
     def keep(self, ctx):
         out = ctx.indices(self.outgroups)
         inside = ctx.indices(self.ingroups) if self.ingroups is not None else [i for i in range(len(ctx.samples)) if i not in out]
-        major_in, major_out = g.major_of(g.called_bases(inside)), g.major_of(g.called_bases(out))
+        major_in, major_out = g.major_of(g.haplotypes(inside)), g.major_of(g.haplotypes(out))
         judged = F.when(major_out.isNull(), F.lit(not self.strict)).otherwise(F.coalesce(major_in == major_out, F.lit(False)))
-        return (~F.col("is_snp") | judged) if self.keep_monomorphic else judged
+        return F.col("is_dummy") | judged | (~F.col("is_snp") if self.keep_monomorphic else F.lit(False))
 
 
 class ExistingOutgroupFilter(Filter):

@@ -86,11 +86,11 @@ def spectrum_joint(keys: DataFrame, ns: Sequence[int], mode: str = "probabilisti
         return out.groupBy("type", *(f"k_{p}" for p in pops)).agg(F.sum("w").alias("mass"))
     out = keys.groupBy("type", *(x for p in pops for x in (f"m_{p}", f"der_{p}"))).agg(F.sum("w").alias("w"))
     for p in pops:
-        out = out.select("*", F.posexplode(h.pmf_array(F.col(f"m_{p}"), F.col(f"der_{p}"), ns[p])).alias(f"k_{p}", f"_p{p}")).where(F.col(f"_p{p}") > 0)
-    mass = F.col("w")
-    for p in pops:
-        mass = mass * F.col(f"_p{p}")
-    return out.groupBy("type", *(f"k_{p}" for p in pops)).agg(F.sum(mass).alias("mass"))
+        # sum over this population's keys before the next one is exploded: keys that agree from here on become one
+        left = [x for q in pops[p + 1 :] for x in (f"m_{q}", f"der_{q}")]
+        bins = out.select("type", "w", *(f"k_{q}" for q in pops[:p]), *left, F.posexplode(h.pmf_array(F.col(f"m_{p}"), F.col(f"der_{p}"), ns[p])).alias(f"k_{p}", "_p")).where("_p > 0")
+        out = bins.groupBy("type", *(f"k_{q}" for q in pops[: p + 1]), *left).agg(F.sum(F.col("w") * F.col("_p")).alias("w"))
+    return out.withColumnRenamed("w", "mass")
 
 
 def two_site(keys: DataFrame, n: int, d: int, offset: int = 0) -> DataFrame:

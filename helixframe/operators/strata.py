@@ -130,7 +130,8 @@ class RandomBin(Stratum):
         self.n_bins, self.seed = n_bins, seed
 
     def label(self, ctx):
-        return F.concat(F.lit("bin"), F.pmod(F.xxhash64("chrom", "pos", F.lit(self.seed)), F.lit(self.n_bins)).cast("string"))
+        digest = F.md5(F.concat_ws(":", "chrom", F.col("pos").cast("string"), F.lit(str(self.seed))))
+        return F.concat(F.lit("bin"), F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(self.n_bins)).cast("string"))
 
 
 class Chunked(Stratum):

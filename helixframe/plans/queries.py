@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codons
 from ..functions import genotypes as g
 from ..operators import algebra, ancestral, filters, project, strata
+from ..operators.spectra import Spectrum
 from ..sources import reference
 from . import tables
 
@@ -89,10 +90,12 @@ def sfs_multi_level(spark, d):
     return out(spectrum(spark, d, 6, label), "type", "bin")
 
 
-@query("sfs_random_bin", f"WITH {sql_sfs(10, 'chr(98) || CAST(((pos*48271+7) % 2147483647) % 4 AS VARCHAR)')} {sql_bins()}")
+SQL_BIN = "'bin' || CAST(CAST('0x' || substr(md5(chrom || ':' || CAST(pos AS VARCHAR) || ':0'), 1, 8) AS BIGINT) % 4 AS VARCHAR)"
+
+
+@query("sfs_random_bin", f"WITH {sql_sfs(10, SQL_BIN)} {sql_bins()}")
 def sfs_random_bin(spark, d):
-    label = F.concat(F.lit("b"), ((F.col("pos") * 48271 + 7) % 2147483647 % 4).cast("string"))
-    return out(spectrum(spark, d, label=label), "type", "bin")
+    return out(spectrum(spark, d, label=strata.RandomBin(4).label(filters.Context())), "type", "bin")
 
 
 @query("sfs_prob_polarized", f"WITH {SITE}, w AS (SELECT type, m, der, 1-(size%10)/20.0 AS p FROM site WHERE m>=10), sfs AS (SELECT type, k AS bin, sum(p*{sql_pmf('m', 'der', 'k', 10)}+(1-p)*{sql_pmf('m', '(m-der)', 'k', 10)}) AS mass FROM w, range(0,11) t(k) GROUP BY type, k) {sql_bins()}")
@@ -143,10 +146,8 @@ def scale_theta(spark, d):
 
 @query("neutral_spectrum", f"SELECT CAST(i AS BIGINT) AS bin, {sql_round('CASE WHEN i BETWEEN 1 AND 19 THEN 0.01*100000/i WHEN i=0 THEN 100000-(SELECT sum(0.01*100000/j) FROM range(1,20) u(j)) ELSE 0 END')} AS mass FROM range(0,21) t(i)")
 def neutral_spectrum(spark, d):
-    n, theta, sites = 20, 0.01, 100000
-    used = sum(theta * sites / i for i in range(1, n))
-    mass = F.when(F.col("id").between(1, n - 1), theta * sites / F.col("id")).when(F.col("id") == 0, sites - used).otherwise(0.0)
-    return spark.range(n + 1).select(F.col("id").alias("bin"), r6(mass).alias("mass"))
+    rows = list(enumerate(Spectrum.get_neutral(0.01, 100000, 20).to_list()))
+    return spark.createDataFrame(rows, "bin bigint, mass double").select("bin", r6("mass").alias("mass"))
 
 
 MULTI = sql_sfs(6, "type || chr(46) || replace(chrom, chr(46), chr(95))")
@@ -507,12 +508,27 @@ def window_factor(spark, d):
 # ---- codons, substitution models, priors
 
 
-@query("degeneracy_table")
+def sql_amino(codon: str) -> str:
+    """The amino acid of a codon, by its place in the order TTT, TTC, TTA, ..."""
+    at = "+".join(f"{w}*(strpos('TCAG', substr({codon},{k},1))-1)" for k, w in ((1, 16), (2, 4), (3, 1)))
+    return f"substr('{codons.AMINO_ACIDS}', CAST({at}+1 AS INTEGER), 1)"
+
+
+def sql_with_base(codon: str, place: str, base: str) -> str:
+    """``codon`` with ``base`` at the 0-based ``place``."""
+    return f"(substr({codon},1,CAST({place} AS INTEGER)) || {base} || substr({codon},CAST({place} AS INTEGER)+2))"
+
+
+LETTER = "letter AS (SELECT substr('TCAG', CAST(i AS INTEGER), 1) AS b FROM range(1,5) t(i))"
+TRIPLET = f"{LETTER}, triplet AS (SELECT x.b||y.b||z.b AS codon FROM letter x, letter y, letter z), changed AS (SELECT codon, p, {sql_with_base('codon', 'p', 'b')} AS alternative FROM triplet, range(0,3) q(p), letter WHERE substr(codon,CAST(p AS INTEGER)+1,1)<>b), judged AS (SELECT *, {sql_amino('codon')}={sql_amino('alternative')} AS synonymous FROM changed)"
+
+
+@query("degeneracy_table", f"WITH {TRIPLET} SELECT codon, CAST(p AS BIGINT) AS pos, CAST(CASE count(*) FILTER (WHERE synonymous) WHEN 0 THEN 0 WHEN 3 THEN 4 ELSE 2 END AS BIGINT) AS degeneracy FROM judged GROUP BY codon, p")
 def degeneracy_table(spark, d):
     return spark.createDataFrame(codons.degeneracy_rows(), "codon string, pos bigint, degeneracy bigint")
 
 
-@query("synonymy_codon")
+@query("synonymy_codon", f"WITH {TRIPLET} SELECT codon, alternative, synonymous FROM judged")
 def synonymy_codon(spark, d):
     rows = [(a, a[:p] + b + a[p + 1 :], codons.synonymous(a, a[:p] + b + a[p + 1 :])) for a in codons.CODONS for p in range(3) for b in "ACGT" if b != a[p]]
     return spark.createDataFrame(rows, "codon string, alternative string, synonymous boolean")

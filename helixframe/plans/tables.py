@@ -7,6 +7,9 @@ supplier key modulo 7. Reference and alternative bases, tags and coding interval
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +70,25 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coding intervals: parts of sizes divisible by 10 start one as long as their size."""
     part = table(spark, sf_dir, "part").where(F.col("p_size") % 10 == 0)
     return part.select(F.col("p_brand").alias("seqid"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).cast("bigint").alias("end"), F.lit("+").alias("strand"), F.lit(0).alias("phase"), F.col("p_name").alias("parent"))
+
+
+def stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals as transcripts of their own, those of sizes divisible by 20 on the other strand."""
+    cds = intervals(spark, sf_dir)
+    return cds.withColumns({"strand": F.when((F.col("end") - F.col("start")) % 20 == 0, "-").otherwise("+"), "parent": F.concat(F.lit("t"), F.col("start").cast("string"))})
+
+
+def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, seq): a sequence per brand that has the reference base of every position, and some more."""
+    longest = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("contig")).agg(F.max("p_partkey").alias("_n"))
+    return longest.select("contig", F.expr("repeat('CGTA', cast(_n div 4 + 30 as int))").alias("seq"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see; a local master may go without a configured one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset")
+        folder = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -53,9 +53,9 @@ def write_est_sfs(configs: DataFrame, n_ingroups: int, path: str) -> None:
 
 def spectra_frame(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a column per type as a long frame."""
-    wide = spark.read.csv(path, header=True, inferSchema=False).withColumn("n", F.monotonically_increasing_id())
-    types = [c for c in wide.columns if c != "n"]
-    rows = wide.select("n", F.explode(F.array(*(F.struct(F.lit(t).alias("type"), F.col(f"`{t}`").cast("double").alias("mass")) for t in types))).alias("x"))
+    wide = spark.read.csv(path, header=True, inferSchema=False)
+    cells = F.array(*(F.struct(F.lit(t).alias("type"), F.col(f"`{t}`").cast("double").alias("mass")) for t in wide.columns))
+    rows = wide.select(F.monotonically_increasing_id().alias("row"), F.explode(cells).alias("x"))
     from pyspark.sql import Window
 
-    return rows.select((F.row_number().over(Window.partitionBy("x.type").orderBy("n")) - 1).alias("bin"), "x.type", "x.mass").select("type", "bin", "mass")
+    return rows.select("x.type", (F.row_number().over(Window.partitionBy("x.type").orderBy("row")) - 1).alias("bin"), "x.mass")

@@ -21,7 +21,7 @@ def test_entry_runs(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["sfs_1d_stratified", "sfs_joint2", "two_site", "filter_chain", "chunked", "sfs_genotypes", "cds_overlap_removal"])
+@pytest.mark.parametrize("name", ["sfs_1d_stratified", "sfs_joint2", "two_site", "filter_chain", "chunked", "sfs_genotypes", "cds_overlap_removal", "sfs_random_bin", "sfs_prob_sites", "degeneracy_annotated", "synonymy_annotated", "vcf_round_trip", "gff_read", "spectra_csv", "two_site_cov", "sfs_joint3"])
 def test_queries_match_sql(spark, name):
     import duckdb
 

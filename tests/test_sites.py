@@ -193,6 +193,31 @@ def test_degeneracy_and_synonymy(spark, coding_tables):
     assert out[2]["info"]["Synonymy_Info"] == "GTT/GTC"
 
 
+def test_stated_codons_and_effects_are_checked(spark, coding_tables):
+    fasta, cds = coding_tables
+    s = source(spark, snps([6, 9, 12, 15]))
+    for tag, texts, want in (
+        ("CSQ", ["x|gtT/gtC|y", "GTT/GAA", "synonymous_variant", "missense_variant"], ["1", ".", "1", "1"]),  # only codons count
+        ("ANN", ["missense_variant", "synonymous_variant", "intron_variant", ""], [".", "1", "1", "1"]),
+    ):
+        column = F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("site_id") + 1).cast("int"))
+        tagged = from_table(s.sites.withColumn("info", F.map_concat(F.map_filter("info", lambda k, _: k != tag), F.create_map(F.lit(tag), column))), s.samples)
+        out = annotate_variants(tagged, [coding.annotate_synonymy], fasta=fasta, cds=cds).sites.orderBy("site_id").collect()
+        assert [r["info"]["Synonymy"] for r in out] == want
+        assert [r["info"]["Synonymy_Info"] == "." for r in out] == [w == "." for w in want]
+
+
+def test_outgroups_judge_whole_alleles_and_keep_sampled_sites(spark):
+    rows = [
+        (0, "1", 1, "AT", ["GC"], [[0, 0], [1, 1]], None, False, True, False, False, False, False, {}),  # AT against GC
+        (1, "1", 2, "TA", ["AT"], [[0, 1], [0, 0]], None, False, True, False, False, False, False, {}),  # a tie: the first allele
+        (2, "1", 3, "A", [], [[0, 0], [-1, -1]], None, False, False, False, False, False, True, {}),
+    ]
+    s = from_table(spark.createDataFrame(rows, SITES), ["in", "out"])
+    kept = filter_variants(s, [filters.DeviantOutgroupFilter(["out"], keep_monomorphic=False)]).sites
+    assert sorted(r["site_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_codons_span_coding_sequences_on_both_strands(spark):
     #            1234567890123456
     sequence = "CCATGAAACCTTGTAA"

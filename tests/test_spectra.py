@@ -110,3 +110,14 @@ def test_frames_agree_with_arrays(spark):
     got = np.zeros((9, 9))
     got[added["i"], added["j"]] = added["mass"]
     assert np.allclose(got, full)
+
+
+def test_fpmi_needs_finite_polymorphic_pairs():
+    border = np.zeros((5, 5))
+    border[0] = 1
+    for bad in (border, np.zeros((5, 5)), np.full((5, 5), np.nan)):
+        with pytest.raises(ValueError):
+            TwoSFS(bad).fpmi()
+    only = np.zeros((5, 5))
+    only[1, 2] = only[2, 1] = 3
+    assert np.isclose(TwoSFS(only).fpmi().data[1, 2], np.log(2)) and TwoSFS(only).fpmi().data[1, 1] == 0
