@@ -199,9 +199,9 @@ def drop_sparse(spark, d):
     return out(algebra.drop_sparse(multi(spark, d), 6, 12), "type", "bin")
 
 
-@query("drop_zero_entries", f"WITH {sql_sfs(10, 'type', 'size%5<2')}, z AS (SELECT type, bin, CASE WHEN type<'M' AND bin=3 THEN 0 ELSE mass END AS mass FROM sfs) SELECT type, CAST(bin AS BIGINT) AS bin, {sql_round('mass')} AS mass FROM z WHERE type IN (SELECT type FROM z WHERE bin<10 GROUP BY type HAVING min(abs(mass))>0)")
+@query("drop_zero_entries", f"WITH {sql_sfs(10)}, z AS (SELECT type, bin, CASE WHEN type<'M' AND bin=3 THEN 0 ELSE mass END AS mass FROM sfs) SELECT type, CAST(bin AS BIGINT) AS bin, {sql_round('mass')} AS mass FROM z WHERE type IN (SELECT type FROM z WHERE bin<10 GROUP BY type HAVING min(abs(mass))>0)")
 def drop_zero_entries(spark, d):
-    s = spectrum(spark, d, where="size % 5 < 2").withColumn("mass", F.when((F.col("type") < "M") & (F.col("bin") == 3), 0.0).otherwise(F.col("mass")))
+    s = spectrum(spark, d).withColumn("mass", F.when((F.col("type") < "M") & (F.col("bin") == 3), 0.0).otherwise(F.col("mass")))
     return out(algebra.drop_zero_entries(s, 10), "type", "bin")
 
 
@@ -481,11 +481,11 @@ def cds_overlap_removal(spark, d):
 # ---- target sites
 
 
-SAMPLED = "smp AS (SELECT p_type AS type, CAST(count(*) AS DOUBLE) AS sampled FROM part WHERE p_size%2=0 GROUP BY 1)"
+SAMPLED = "smp AS (SELECT p_type AS type, CAST(count(*) AS DOUBLE) AS sampled FROM part GROUP BY 1)"
 
 
 def sampled(spark, d):
-    return tables.table(spark, d, "part").where("p_size % 2 = 0").groupBy(F.col("p_type").alias("type")).agg(F.count("*").cast("double").alias("sampled"))
+    return tables.table(spark, d, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").cast("double").alias("sampled"))
 
 
 @query("target_sites_1d", f"WITH {sql_sfs(10)}, {SAMPLED}, ob AS (SELECT type, sum(CASE WHEN bin>0 THEN mass ELSE 0 END) AS o FROM sfs GROUP BY 1) SELECT sfs.type, CAST(bin AS BIGINT) AS bin, {sql_round('CASE WHEN bin=0 THEN greatest(sampled*50000/(SELECT sum(sampled) FROM smp)-o,0) ELSE mass END')} AS mass FROM sfs JOIN smp USING (type) JOIN ob USING (type)")
