@@ -118,10 +118,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(len(ids)):
-                packed = words.encode(texts[i].as_py()) + end
-                held.append((ids[i], packed))
+            texts = (x.as_py() for x in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
+                packed = ids.tobytes() + end
+                held.append((doc, packed))
                 sizes.append(len(packed) // words.type.itemsize)
                 total += sizes[-1]
                 if total >= block_tokens:

@@ -112,11 +112,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
         shard = None
         try:
             for batch in batches:
-                texts = batch.column(1)
-                for i, doc in enumerate(batch.column(0).to_pylist()):
+                texts = (x.as_py() for x in batch.column(1))
+                for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
                     if shard is None:
                         shard = _Shard(store, root, f"shard-{TaskContext.get().partitionId():06d}", words.type, length, rows)
-                    shard.add(doc, np.concatenate([np.frombuffer(words.encode(texts[i].as_py()), words.type), end]))
+                    shard.add(doc, np.concatenate([ids, end]))
             if shard is not None:
                 shard.close()
         except BaseException:
