@@ -13,7 +13,8 @@ from ..operators import algebra, project
 from ..operators.filters import Context, Filter, PolyAllelicFilter, apply_filters
 from ..operators.spectra import JointSpectra, Spectra, TwoSpectra
 from ..operators.strata import Stratum, composite
-from ..sources.vcf import VariantSource, write_vcf
+from ..sources.vcf import VariantSource
+from ..sources.vcz import write_sites
 
 log = logging.getLogger("helixframe")
 Annotation = Callable[[DataFrame, Context], DataFrame]
@@ -187,7 +188,7 @@ def filter_variants(source: VariantSource, filters: Sequence[Filter], output: st
     ctx = Context(source.samples, **context)
     out = VariantSource(apply_filters(first_sites(source.sites, max_sites), filters, ctx), source.samples, source.contig_lengths, source.header)
     if output:
-        write_vcf(out, output)
+        write_sites(out, output)
     return out
 
 
@@ -198,5 +199,5 @@ def annotate_variants(source: VariantSource, annotations: Sequence[Annotation],
         df = annotate(df, ctx)
     out = VariantSource(df, source.samples, source.contig_lengths, source.header)
     if output:
-        write_vcf(out, output, tags)
+        write_sites(out, output, tags)
     return out

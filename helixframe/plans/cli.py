@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .. import __version__
 from ..operators import ancestral, coding, filters, strata
 from ..sources.reference import read_cds, read_fasta
-from ..sources.vcf import read_vcf
+from ..sources.vcz import open_sites
 from .builder import SpectrumQuery, annotate_variants, filter_variants
 
 STRATA = {"degeneracy": strata.Degeneracy, "synonymy": strata.Synonymy, "ancestral-base": strata.AncestralBase, "base-transition": strata.BaseTransition, "transition-transversion": strata.TransitionTransversion, "contig": strata.Contig}
@@ -63,7 +63,7 @@ def build_parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("parse", "filter", "annotate"):
         p = commands.add_parser(name)
-        p.add_argument("--vcf", required=True)
+        p.add_argument("--vcf", "--zarr", dest="vcf", required=True)
         p.add_argument("--output", required=True)
         p.add_argument("--fasta")
         p.add_argument("--gff")
@@ -120,7 +120,7 @@ def make_annotations(args, samples: list[str]) -> list:
 
 def run(args, spark: SparkSession) -> int:
     guard_output(args.output, args.vcf)
-    source = read_vcf(spark, args.vcf)
+    source = open_sites(spark, args.vcf)
     tables = {"fasta": read_fasta(spark, args.fasta) if args.fasta else None, "cds": read_cds(spark, args.gff) if args.gff else None}
     if args.command == "filter":
         filter_variants(source, make_filters(args) or [], args.output, args.max_sites, **tables)
