@@ -194,19 +194,33 @@ def fold_two(two: DataFrame, n: int) -> DataFrame:
     return two.groupBy("type", i.alias("i"), j.alias("j")).agg(F.sum("mass").alias("mass"))
 
 
-def target_sites_1d(sfs: DataFrame, sampled: DataFrame, n: int, n_target: float) -> DataFrame:
+def _target_sites(spectra: DataFrame, sampled: DataFrame, cell: list[str], derived: Column, n_target: float, types: str, keep: bool) -> DataFrame:
+    """The all-ancestral cell of each type gets its share of the target less what was observed of the type."""
+    mass, origin = F.col("mass"), sum((F.col(k) for k in cell), F.lit(0)) == 0
+    seen = spectra.groupBy("type").agg(F.sum(F.when(origin, 0.0).otherwise(mass)).alias("observed"), F.sum(F.when(origin | derived, 0.0).otherwise(mass)).alias("polymorphic"))
+    both = seen.join(sampled, "type", types).select("type", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("observed", "sampled")))
+    changes = F.col("s") > 0
+    both = both.join(F.broadcast(sampled.agg(F.sum("sampled").alias("s"))))
+    if keep:
+        both = both.join(F.broadcast(seen.agg(F.coalesce(F.sum("polymorphic"), F.lit(0.0)).alias("p"))))
+        changes &= F.lit(float(n_target)) >= F.col("p")
+    new = both.select("type", F.when(changes, F.greatest(F.col("sampled") * F.lit(float(n_target)) / F.col("s") - F.col("observed"), F.lit(0.0))).alias("new"))
+    if types == "inner":
+        return spectra.join(new, "type").select("type", *cell, F.when(origin, F.coalesce("new", "mass")).otherwise(mass).alias("mass"))
+    zero = new.where("new is not null").select("type", *(F.lit(0).alias(k) for k in cell), "new")
+    return spectra.join(zero, ["type", *cell], types).select("type", *cell, F.coalesce("new", "mass").alias("mass"))
+
+
+def target_sites_1d(sfs: DataFrame, sampled: DataFrame, n: int, n_target: float, types: str = "full", keep: bool = True) -> DataFrame:
     """Bin 0 of each type from sampled opportunities: sampled * x - observed, not below 0.
 
     x = (target + polymorphic before sampling - polymorphic) / all sampled; here sampling adds no
-    polymorphic mass. Nothing changes when the target is below the polymorphic mass or nothing was sampled.
-    ``sampled``: (type, sampled).
+    polymorphic mass. Nothing changes when nothing was sampled nor, with ``keep``, when the target is
+    below the polymorphic mass (bins 1 to n - 1); without ``keep`` the formula holds for any target.
+    ``sampled``: (type, sampled). ``types``: ``full``, a type that only sampling shows gets a bin 0;
+    ``inner``, the rows are those of ``sfs`` whose type was sampled. x counts all that was sampled.
     """
-    observed = sfs.groupBy("type").agg(F.sum(F.when(F.col("bin") > 0, F.col("mass")).otherwise(0.0)).alias("observed"))
-    both = observed.join(sampled, "type", "full").select("type", F.coalesce("observed", F.lit(0.0)).alias("observed"), F.coalesce("sampled", F.lit(0.0)).alias("sampled"))
-    everything = both.agg(F.sum("sampled").alias("s"), F.sum("observed").alias("o"))
-    zero = both.join(F.broadcast(everything)).where(F.col("s") > 0).where(F.lit(float(n_target)) >= F.col("o")).select("type", F.lit(0).alias("bin"), F.greatest(F.col("sampled") * F.lit(float(n_target)) / F.col("s") - F.col("observed"), F.lit(0.0)).alias("new"))
-    out = sfs.join(zero, ["type", "bin"], "full")
-    return out.select("type", "bin", F.coalesce("new", "mass").alias("mass"))
+    return _target_sites(sfs, sampled, ["bin"], F.col("bin") == n, n_target, types, keep)
 
 
 def target_sites_joint(joint: DataFrame, sampled: DataFrame, n_pops: int, n_target: float) -> DataFrame:

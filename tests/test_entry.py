@@ -37,6 +37,32 @@ def test_queries_match_sql(spark, name):
     assert sorted(map(tuple, got[columns].itertuples(index=False)), key=str) == sorted(map(tuple, want[columns].itertuples(index=False)), key=str)
 
 
+def site_tables(path, n, copies, derived):
+    """n parts of two types with ``copies`` line items each, ``derived`` of them derived, and a type whose parts have 3."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"copy (select i as p_partkey, 'b' || i % 5 as p_brand, case when i >= {n} then 'few' when i % 3 = 0 then 'x' else 'y' end as p_type, cast(i % 50 as int) as p_size from range({n} + 30) t(i)) to '{path}/part.parquet' (format parquet)")
+    con.execute(f"copy (select i as l_partkey, case when j % 2 = 0 then 'A' else 'R' end as l_returnflag, case when j < {derived} then 'F' else 'O' end as l_linestatus from range({n} + 30) t(i), range({copies}) u(j) where i < {n} or j < 3) to '{path}/lineitem.parquet' (format parquet)")
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from '{path}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["target_sites_1d"])
+@pytest.mark.parametrize(("n", "copies", "derived"), [(60_000, 10, "(i * 7) % 11"), (600, 12, "(i * 7) % 13"), (60, 10, "9"), (30, 3, "1")])
+def test_target_sites_match_sql(spark, tmp_path, name, n, copies, derived):
+    """More sites than the target, fewer, none at or near the origin, and none with enough haplotypes."""
+    import __spark_entry__ as e
+
+    con = site_tables(tmp_path, n, copies, derived)
+    got = e.queries()[name](spark, str(tmp_path)).toPandas()
+    want = con.execute(e.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns) and (len(want) > 0) == (copies > 3)
+    assert sorted(map(tuple, got[columns].itertuples(index=False)), key=str) == sorted(map(tuple, want[columns].itertuples(index=False)), key=str)
+
+
 def test_the_rest_stands_without_the_training_operators(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))

@@ -121,3 +121,18 @@ def test_fpmi_needs_finite_polymorphic_pairs():
     only = np.zeros((5, 5))
     only[1, 2] = only[2, 1] = 3
     assert np.isclose(TwoSFS(only).fpmi().data[1, 2], np.log(2)) and TwoSFS(only).fpmi().data[1, 1] == 0
+
+
+def test_target_below_what_was_observed(spark):
+    """Divergence uses up the target but is not polymorphic: it does not stop the update."""
+    sfs = spark.createDataFrame([("a", 0, 5.0), ("a", 1, 30.0), ("a", 2, 80.0), ("b", 0, 1.0), ("b", 1, 2.0), ("b", 2, 0.0)], "type string, bin int, mass double")
+    sampled = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "type string, sampled double")
+
+    def zeros(*args, **options):
+        return {r["type"]: r["mass"] for r in algebra.target_sites_1d(sfs, sampled, 2, *args, **options).where("bin = 0").collect()}
+
+    assert zeros(100) == {"a": 0, "b": 48, "c": 25} and zeros(31) == {"a": 5, "b": 1}
+    assert zeros(20, keep=False) == {"a": 0, "b": 8, "c": 5} and zeros(20, types="inner", keep=False) == {"a": 0, "b": 8}
+    assert zeros(20, types="inner") == {"a": 5, "b": 1}
+    with_none = algebra.target_sites_1d(sfs, sampled.where("sampled < 0"), 2, 1000)
+    assert sorted(with_none.collect()) == sorted(sfs.collect())
