@@ -223,15 +223,10 @@ def target_sites_1d(sfs: DataFrame, sampled: DataFrame, n: int, n_target: float,
     return _target_sites(sfs, sampled, ["bin"], F.col("bin") == n, n_target, types, keep)
 
 
-def target_sites_joint(joint: DataFrame, sampled: DataFrame, n_pops: int, n_target: float) -> DataFrame:
-    """The same for the origin cell of joint spectra; every other cell counts as observed."""
-    ks = [f"k_{p}" for p in range(n_pops)]
-    origin = sum((F.col(k) for k in ks), F.lit(0)) == 0
-    observed = joint.groupBy("type").agg(F.sum(F.when(origin, 0.0).otherwise(F.col("mass"))).alias("observed"))
-    both = observed.join(sampled, "type", "full").select("type", F.coalesce("observed", F.lit(0.0)).alias("observed"), F.coalesce("sampled", F.lit(0.0)).alias("sampled"))
-    everything = both.agg(F.sum("sampled").alias("s"), F.sum("observed").alias("o"))
-    zero = both.join(F.broadcast(everything)).where((F.col("s") > 0) & (F.lit(float(n_target)) >= F.col("o"))).select("type", *(F.lit(0).alias(k) for k in ks), F.greatest(F.col("sampled") * F.lit(float(n_target)) / F.col("s") - F.col("observed"), F.lit(0.0)).alias("new"))
-    return joint.join(zero, ["type", *ks], "full").select("type", *ks, F.coalesce("new", "mass").alias("mass"))
+def target_sites_joint(joint: DataFrame, sampled: DataFrame, ns: Sequence[int], n_target: float, types: str = "full", keep: bool = True) -> DataFrame:
+    """The same for the origin cell of joint spectra; every other cell counts as observed, all but the last as polymorphic."""
+    ks = [f"k_{p}" for p in range(len(ns))]
+    return _target_sites(joint, sampled, ks, sum((F.col(k) for k in ks), F.lit(0)) == sum(ns), n_target, types, keep)
 
 
 def window_factor(spans: DataFrame, d: int) -> DataFrame:

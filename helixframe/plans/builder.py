@@ -104,7 +104,7 @@ class SpectrumQuery:
             out = project.spectrum_1d(self.keys(), self.ns[0], self.subsample_mode, self.seed)
             return out if self.n_target_sites is None else algebra.target_sites_1d(out, self.opportunities, self.ns[0], self.n_target_sites)
         out = project.spectrum_joint(self.keys(), self.ns, self.subsample_mode, self.seed)
-        return out if self.n_target_sites is None else algebra.target_sites_joint(out, self.opportunities, len(self.ns), self.n_target_sites)
+        return out if self.n_target_sites is None else algebra.target_sites_joint(out, self.opportunities, self.ns, self.n_target_sites)
 
     def _pairs(self) -> DataFrame:
         """The pair spectrum; with target sites, the pairs of sites the input does not show are added to its border."""

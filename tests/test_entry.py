@@ -49,7 +49,7 @@ def site_tables(path, n, copies, derived):
     return con
 
 
-@pytest.mark.parametrize("name", ["target_sites_1d"])
+@pytest.mark.parametrize("name", ["target_sites_1d", "target_sites_joint"])
 @pytest.mark.parametrize(("n", "copies", "derived"), [(60_000, 10, "(i * 7) % 11"), (600, 12, "(i * 7) % 13"), (60, 10, "9"), (30, 3, "1")])
 def test_target_sites_match_sql(spark, tmp_path, name, n, copies, derived):
     """More sites than the target, fewer, none at or near the origin, and none with enough haplotypes."""

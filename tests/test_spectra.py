@@ -136,3 +136,19 @@ def test_target_below_what_was_observed(spark):
     assert zeros(20, types="inner") == {"a": 5, "b": 1}
     with_none = algebra.target_sites_1d(sfs, sampled.where("sampled < 0"), 2, 1000)
     assert sorted(with_none.collect()) == sorted(sfs.collect())
+
+
+def test_joint_target_below_what_was_observed(spark):
+    """The same for joint spectra, whose origin may have no row."""
+    rows = [("a", 0, 0, 5.0), ("a", 1, 0, 30.0), ("a", 2, 1, 80.0), ("b", 0, 1, 2.0)]
+    joint = spark.createDataFrame(rows, "type string, k_0 int, k_1 int, mass double")
+    sampled = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "type string, sampled double")
+
+    def origins(*args, **options):
+        out = algebra.target_sites_joint(joint, sampled, [2, 1], *args, **options)
+        assert sorted(map(tuple, out.where("k_0 + k_1 > 0").collect())) == sorted(rows[1:])
+        return {r["type"]: r["mass"] for r in out.where("k_0 + k_1 = 0").collect()}
+
+    assert origins(100) == {"a": 0, "b": 48, "c": 25} and origins(31) == {"a": 5}
+    assert origins(20, keep=False) == {"a": 0, "b": 8, "c": 5} and origins(20, types="inner", keep=False) == {"a": 0}
+    assert origins(800, types="inner") == {"a": 90} and origins(20, types="inner") == {"a": 5}
